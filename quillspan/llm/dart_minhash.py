@@ -9,10 +9,11 @@ weighted Jaccard similarity. About k ln k darts fill all coordinates, so the
 ranks searched shrink as the document's weight grows.
 
 Signatures join by bands. Exact copies are one text throughout. In each bucket
-every text is compared with the one of least id, exactly, by its shingles; then,
-in buckets whose texts are in several classes still, the texts of different
-classes with each other, in blocks of bounded size. So no link that a bucket can
-show is lost, and a bucket of many near copies costs one comparison for each.
+every text is compared with a central one, exactly, by its shingles; then, in
+buckets whose texts are in several classes still, the texts of different classes
+with each other, in blocks of bounded size, unless shingles that no other text
+has rule a link out. So no link that a bucket can show is lost, and a bucket of
+many near copies costs one comparison for each.
 Classes are connected components, found by alternating large and small stars.
 """
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fresh, grams, hot_join, mix, per_text, slices, written
+from .common import WordHashes, fresh, grams, hot_join, mix, per_text, written
 
 SHINGLE, LIKE = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -147,26 +148,29 @@ def signed(docs: DataFrame) -> DataFrame:
     return per_text(docs, "text", ["node"], "copy binary, n long, bands array<long>", run)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, like: float) -> DataFrame:
-    """Of the pairs (a, b) those whose documents' shingles have a Jaccard similarity of ``like`` or more."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents ``wanted``, written once for all that compares them."""
 
-    def sets(texts):
+    def run(texts):
         hashes = WordHashes.shared()
-        return [[shingles(hashes, t).tobytes() for t in texts]]
+        return [[shingles(hashes, t).view(np.int64) for t in texts]]
+
+    return written(per_text(docs.join(wanted, "node", "left_semi"), "text", ["node"], "shingles array<long>", run))
 
-    made = written(per_text(docs.join(wanted, "node", "left_semi"), "text", ["node"], "shingles binary", sets))
-    left, right = (made.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+
+def verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
+    """Of the pairs (a, b) those whose documents' shingles have a Jaccard similarity of ``like`` or more."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
-                good = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both >= like * (len(x) + len(y) - both) - 1e-9)
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = []
+            x, y = (batch.column(i) for i in (2, 3))
+            for i in range(batch.num_rows):
+                one, two = (c[i].values.to_numpy() for c in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(both >= like * (len(one) + len(two) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
     return written(joined.mapInArrow(run, "a long, b long").distinct())
@@ -202,29 +206,55 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_links(texts: DataFrame, docs: DataFrame, like: float) -> DataFrame:
-    """Links (a, b) between different texts; ``texts`` has (node, n, bands), ``docs`` (node, text)."""
+    """Links (a, b) between different texts; ``texts`` has (node, n, bands), ``docs`` (node, text).
+
+    The centre of a bucket is its text with the most company in all buckets, which
+    in a family of copies is the one nearest to all others.
+    """
     keyed = texts.select("node", "n", F.explode("bands").alias("band"))
-    buckets = written(keyed.groupBy("band").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    near = keyed.join(buckets, "band")
-    small = lambda x, y: F.least(x, y) >= F.lit(like - 1e-9) * F.greatest(x, y)
-    first = near.where((F.col("node") != F.col("least.node")) & small(F.col("n"), F.col("least.n"))).select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct()
-    first = written(first)
-    links = verified(first, docs, like)
-    # Buckets of three or more whose texts aren't all in one class by now.
-    labels = written(components(links))
-    members = near.where("size > 2").select("band", "node", "n", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ones = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    members = members.join(open_ones, "band", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = members.select("band", "node", "n", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "n", "label", "block").alias("x"))
-    groups = dealt.groupBy("band", "i", "j").agg(F.collect_list("x").alias("xs"))
-    left = groups.select("i", "j", "xs", F.explode("xs").alias("x"))
-    meets = lambda y: (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")) & ((F.col("i") == F.col("j")) | (y["block"] != F.col("x.block"))) & small(y["n"], F.col("x.n"))
-    second = left.select(F.col("x.node").alias("b"), F.explode(F.transform(F.filter("xs", meets), lambda y: y["node"])).alias("a")).distinct()
+    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    near = written(keyed.join(sizes, "band"))
+    company = near.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = near.join(company, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("company", -F.col("node"))).alias("centre"))
+    fits = lambda x, y: F.least(x, y) >= F.lit(like - 1e-9) * F.greatest(x, y)
+    first = near.join(centres, "band").where((F.col("node") != F.col("centre.node")) & fits(F.col("n"), F.col("centre.n")))
+    first = written(first.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct())
+    sets = shingle_sets(docs, near.select("node").distinct())
+    links = verified(first, sets, like)
+    second = open_pairs(near, written(components(links)), sets, like)
     known = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = written(second.select("a", "b").join(known, ["a", "b"], "left_anti"))
-    return links if second.isEmpty() else links.union(verified(second, docs, like))
+    second = written(second.join(known, ["a", "b"], "left_anti"))
+    return links if second.isEmpty() else links.union(verified(second, sets, like))
+
+
+def open_pairs(near: DataFrame, labels: DataFrame, sets: DataFrame, like: float) -> DataFrame:
+    """Pairs (a, b), a > b, of texts that share a bucket and aren't in one class by ``labels``, if they can be similar enough.
+
+    A shingle that no other text of an open bucket has can't be shared. So a text's
+    other shingles, ``most`` in number, bound its overlap with any of them, and a
+    text whose bound is too low has no partner: it needs no comparison.
+    """
+    members = near.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
+    members = written(members.join(several, "band", "left_semi").select("band", "node", "n", "size", "label"))
+    each = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle")).distinct()
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node")).where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    bounded = members.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(like - 1e-9) * F.col("n"))
+    # Blocks of a bucket, each of which meets each: BLOCK texts of one and BLOCK of another at a time.
+    left = bounded.groupBy("band").agg(F.count(F.lit(1)).alias("left"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    bounded = bounded.join(left.select("band", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks")), "band")
+    bounded = bounded.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = bounded.select("band", F.struct("node", "n", "most", "label", "block").alias("x"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    groups = dealt.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("x").alias("xs"))
+    one = groups.select("i", "j", "xs", F.explode("xs").alias("x"))
+
+    def meets(y: Column) -> Column:
+        most = F.least(y["most"], F.col("x.most"))
+        apart = (F.col("i") == F.col("j")) | (y["block"] != F.col("x.block"))
+        return (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")) & apart & (most >= F.lit(like - 1e-9) * (y["n"] + F.col("x.n") - most))
+
+    met = F.explode(F.transform(F.filter("xs", meets), lambda y: y["node"])).alias("a")
+    return one.select(F.col("x.node").alias("b"), met).distinct().select("a", "b")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", like: float = LIKE) -> DataFrame:
