@@ -11,10 +11,10 @@ strings are dealt out by what they contain:
    around it repeat. Anchors that occur once are done; places of equal
    surroundings, told by a second hash, repeat as a whole, however many there
    are, and one of them stands for all from there on.
-3. Different surroundings of one anchor are joined to an enhanced suffix array.
-   A stack scan over its common prefixes walks the tree of their intervals; those
-   of 200 bytes or more whose occurrences differ in the byte before are the
-   maximal repeats, each with all its occurrences, and all of those are covered.
+3. Different surroundings of one anchor are put into enhanced suffix arrays. In
+   the tree of their common-prefix intervals, those of 200 bytes or more whose
+   occurrences differ in the byte before are the maximal repeats, each with all
+   its occurrences, and all of those are covered.
    An anchor with very many different surroundings is not sent to one task:
    there each 200-byte string around it is counted by its hash.
 4. Each document's covered spans are merged and cut out.
@@ -39,8 +39,8 @@ from .common import arrow_schema, mix, partitions, per_text, slices, written
 LENGTH, GRAM = 200, 24
 SIDE = LENGTH - GRAM
 #: An anchor with more different surroundings than this is counted by string.
-MOST = 512
-#: Bytes of surroundings in one suffix array.
+MOST = 20_000
+#: Bytes of surroundings that are sorted at once.
 ARRAY_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 KEY = ["doc_id", "th"]
@@ -161,32 +161,96 @@ def maximal_repeats(text: np.ndarray, least: int, owner: np.ndarray) -> Iterator
                 stack.append((p, start))
 
 
-def covered(rows: list[tuple[int, int, int, int, bytes]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Spans relative to the anchor, by (anchor, surroundings), of rows (anchor, surroundings, place of the text, anchor's offset, bytes).
+class Aligned:
+    """The enhanced suffix arrays of pieces that stand one above the other, their anchors in column SIDE.
 
-    The pieces stand one after another, each closed by a value of its own, so that
-    no prefix crosses. Occurrences are compared by their places in the texts: a
-    byte of a text may stand in several pieces.
+    A string and its copies lie in the same columns, so suffixes are compared
+    within a column only, and within an anchor. The array of column c - 1 follows
+    from that of column c: the suffixes are dealt by the byte in front of them, in
+    a stable sort, and the common prefix of two that come to stand side by side is
+    one more than the least of those between them. The rightmost array is sorted
+    once. (This is the positional Burrows-Wheeler transform, read from the right.)
     """
-    values, owner, starts = [], [], []
-    size = 0
-    for i, (_, _, place, _, raw) in enumerate(rows):
-        starts.append(size)
-        values += [np.frombuffer(raw, dtype=np.uint8).astype(np.int64), np.array([256 + i])]
-        owner += [place + np.arange(len(raw) + 1, dtype=np.int64)]
-        size += len(raw) + 1
-    text, owner, starts = np.concatenate(values), np.concatenate(owner), np.array(starts)
-    edge = np.zeros(size + 1, np.int64)
-    for length, where in maximal_repeats(text, LENGTH, owner):
-        np.add.at(edge, where, 1)
-        np.add.at(edge, where + length, -1)
-    inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
-    turns = np.flatnonzero(np.diff(inside))
+
+    def __init__(self, group: np.ndarray, left: np.ndarray, raw: list[bytes]):
+        self.rows, self.left = len(raw), left
+        width = SIDE + LENGTH
+        # 0 is beyond a piece's ends.
+        self.cells = np.zeros((self.rows, width + 1), np.uint16)
+        for i, (n, x) in enumerate(zip(left.tolist(), raw, strict=True)):
+            self.cells[i, SIDE - n : SIDE - n + len(x)] = np.frombuffer(x, np.uint8)
+            self.cells[i, SIDE - n : SIDE - n + len(x)] += 1
+        tails = [x[n:] for n, x in zip(left.tolist(), raw, strict=True)]
+        ends = np.array([len(t) for t in tails], np.int32)
+        self.group = group.astype(np.uint16)
+        self.order = np.array(sorted(range(self.rows), key=lambda i: (group[i], tails[i])), np.int64)
+        self.prefix = np.zeros(self.rows + 1, np.int32)
+        if self.rows > 1:
+            one, two = self.order[:-1], self.order[1:]
+            same = self.cells[one, SIDE:width] == self.cells[two, SIDE:width]
+            common = np.where(same.all(axis=1), LENGTH, same.argmin(axis=1))
+            common = np.minimum(common, np.minimum(ends[one], ends[two]))
+            self.prefix[1:-1] = np.where(self.group[one] == self.group[two], common, 0)
+
+    def step(self, column: int) -> None:
+        """Go from the array of ``column`` + 1 to that of ``column``."""
+        front = self.cells[self.order, column]
+        place = np.argsort(front, kind="stable")
+        place = place[np.argsort(self.group[self.order[place]], kind="stable")]
+        p, q = place[:-1], place[1:]
+        joined = (self.group[self.order[p]] == self.group[self.order[q]]) & (front[p] == front[q]) & (front[p] > 0)
+        prefix = np.zeros(self.rows + 1, np.int32)
+        at = np.flatnonzero(joined)
+        if len(at):
+            lo, gap = p[at] + 1, q[at] - p[at]
+            power = np.log2(gap).astype(np.int64)
+            table, least = self.prefix, np.empty(len(at), np.int32)
+            for k in range(int(power.max()) + 1):
+                if k:
+                    table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
+                mine = np.flatnonzero(power == k)
+                least[mine] = np.minimum(table[lo[mine]], table[lo[mine] + gap[mine] - (1 << k)])
+            prefix[at + 1] = least + 1
+        self.order, self.prefix = self.order[place], prefix
+
+    def covered(self, least: int) -> np.ndarray:
+        """Which cells lie in a repeat of ``least`` bytes or more.
+
+        In each column the suffixes whose common prefixes reach ``least`` form
+        the upper intervals of the array's tree. One whose suffixes all have the
+        same byte in front isn't maximal: it is met again, longer, a column to the
+        left. In the others every suffix is an occurrence of the repeat that its
+        innermost interval stands for, as long as the larger of its two common prefixes.
+        """
+        edge = np.zeros((self.rows, self.cells.shape[1] + 1), np.int32)
+        for column in range(SIDE, -1, -1):
+            if column < SIDE:
+                self.step(column)
+            long = self.prefix >= least
+            if not long.any():
+                continue
+            inside = long[:-1] | long[1:]
+            number = np.cumsum(~long[:-1]) - 1  # the interval of each row
+            front = self.cells[self.order, column - 1] if column else np.zeros(self.rows, np.uint16)
+            breaks = long[1:-1] & ((front[1:] != front[:-1]) | (front[1:] == 0))
+            diverse = np.bincount(number[1:], weights=breaks, minlength=number[-1] + 1) > 0
+            at = np.flatnonzero(inside & diverse[number])
+            rows = self.order[at]
+            edge[rows, column] += 1
+            edge[rows, column + np.maximum(self.prefix[at], self.prefix[at + 1])] -= 1
+        return np.cumsum(edge, axis=1)[:, :-1] > 0
+
+
+def covered(rows: list[tuple[int, int, int, bytes]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Spans relative to the anchor, by (anchor, surroundings), of rows (anchor, surroundings, bytes before the anchor, bytes)."""
+    names = {a: i for i, a in enumerate(dict.fromkeys(r[0] for r in rows))}
+    group, left = np.array([names[r[0]] for r in rows]), np.array([r[2] for r in rows])
+    inside = Aligned(group, left, [r[3] for r in rows]).covered(LENGTH)
+    turns = np.diff(np.pad(inside.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    starts, ends = np.nonzero(turns == 1), np.nonzero(turns == -1)
     out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-        i = int(np.searchsorted(starts, a, side="right")) - 1
-        offset = int(starts[i]) + rows[i][3]
-        out.setdefault((rows[i][0], rows[i][1]), []).append((a - offset, b - offset))
+    for i, a, b in zip(starts[0].tolist(), starts[1].tolist(), ends[1].tolist(), strict=True):
+        out.setdefault((rows[i][0], rows[i][1]), []).append((a - SIDE, b - SIDE))
     return out
 
 
@@ -194,7 +258,7 @@ SPANS = "array<struct<lo:int,hi:int>>"
 
 
 def by_array(pieces: DataFrame) -> DataFrame:
-    """(ah, ch, spans) of pieces sorted by anchor: whole anchors, up to ARRAY_BYTES of them to a suffix array."""
+    """(ah, ch, spans) of pieces sorted by anchor: whole anchors, ARRAY_BYTES of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -208,19 +272,21 @@ def by_array(pieces: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for part in slices(batch, 4):
+            for part in slices(batch, 3):
                 for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if held and row[:2] == held[-1][:2]:
+                        continue  # the same piece, from rows that repeat
                     if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                         yield flush()
                         held, size = [], 0
                     held.append(row)
-                    size += len(row[4])
+                    size += len(row[3])
         if held:
             yield flush()
 
     n = partitions(pieces)
     dealt = pieces.repartition(n, "ah").sortWithinPartitions("ah", "ch")
-    return dealt.select("ah", "ch", "place", "offset", "raw").mapInArrow(run, f"ah long, ch long, spans {SPANS}")
+    return dealt.select("ah", "ch", "offset", "raw").mapInArrow(run, f"ah long, ch long, spans {SPANS}")
 
 
 def by_string(pieces: DataFrame) -> DataFrame:
@@ -256,28 +322,24 @@ def packed(slim: DataFrame) -> DataFrame:
 
 
 def surroundings(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(ah, ch, kinds, place, offset, raw) of the representatives (doc_id, th, pos, ah, ch, kinds). Rows that repeat give the same piece, at the same place, again."""
+    """(ah, ch, kinds, offset, raw) of the representatives (doc_id, th, pos, ah, ch, kinds). Rows that repeat give the same piece again."""
     lists = reps.groupBy(*KEY).agg(F.collect_list(F.struct("ah", "ch", "pos", "kinds")).alias("wanted"))
-    joined = texts.join(lists, [texts[k].eqNullSafe(lists[k]) for k in KEY]).select(texts["doc_id"], texts["th"], "z", "wanted")
+    joined = texts.join(lists, [texts[k].eqNullSafe(lists[k]) for k in KEY]).select("z", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        names = ["ah", "ch", "kinds", "place", "offset", "raw"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["ah", "ch", "kinds", "offset", "raw"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            for part in slices(batch, 2, 1 << 19):
+            for part in slices(batch, 0, 1 << 19):
                 rows = []
-                for doc_id, th, z, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for z, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     raw = zstandard.ZstdDecompressor().decompress(z)
-                    # Places of one text are neighbours; other texts start anywhere in 2**62.
-                    base = xxhash.xxh64_intdigest(f"{doc_id}:{th}") >> 2
                     for w in wanted:
                         left = min(w["pos"], SIDE)
-                        rows.append((w["ah"], w["ch"], w["kinds"], base + w["pos"] - left, left, raw[w["pos"] - left : w["pos"] + LENGTH]))
+                        rows.append((w["ah"], w["ch"], w["kinds"], left, raw[w["pos"] - left : w["pos"] + LENGTH]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=names)
 
-    return joined.mapInArrow(run, "ah long, ch long, kinds long, place long, offset int, raw binary")
+    return joined.mapInArrow(run, "ah long, ch long, kinds long, offset int, raw binary")
 
 
 def repeated(slim: DataFrame, texts: DataFrame) -> DataFrame:
@@ -295,11 +357,9 @@ def repeated(slim: DataFrame, texts: DataFrame) -> DataFrame:
     kinds = written(several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("rep")))
     counts = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"))
     reps = kinds.join(counts, "ah").select("rep.*", "ah", "ch", "kinds")
-    pieces = written(surroundings(reps, texts))
-    few, many = pieces.where(F.col("kinds") <= MOST), pieces.where(F.col("kinds") > MOST)
-    found = by_array(few)
-    if not many.isEmpty():
-        found = found.union(by_string(many))
+    found = by_array(surroundings(reps.where(F.col("kinds") <= MOST), texts))
+    if not counts.where(F.col("kinds") > MOST).isEmpty():
+        found = found.union(by_string(surroundings(reps.where(F.col("kinds") > MOST), texts)))
     whole = F.array(F.struct(F.lit(-SIDE).alias("lo"), F.lit(LENGTH).alias("hi"))).cast(SPANS)
     alone = found.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"], "left_anti")
     spans = written(alone.union(kinds.where("n > 1").select("ah", "ch", whole.alias("spans"))))
