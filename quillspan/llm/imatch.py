@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, look) dealt into blocks of neighbouring ids, one block a partition, each sorted.
+    """(doc_id, z, look) dealt into blocks of neighbouring ids, one block a partition, each sorted; z is the text, compressed for the way.
 
     The rows with look = 1 stand after a block's own rows and start with the row
     that follows them: the next block's first, or the first of all.
@@ -128,6 +129,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     first, cuts = got[0], np.array(sorted(set(got[1] or ()) - {got[0]}), dtype=np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in slices(batch, 1):
                 o = part.column(2).to_numpy(zero_copy_only=False)
@@ -138,11 +140,13 @@ def in_order(docs: DataFrame) -> DataFrame:
                 index = np.concatenate([rows, ahead, wrap])
                 into = np.concatenate([block, block[ahead] - 1, np.full(len(wrap), len(cuts), np.int32)]).astype(np.int32)
                 look = np.repeat(np.array([0, 1, 1], np.int32), [len(rows), len(ahead), len(wrap)])
-                both = [part.column(i).take(pa.array(index)) for i in (0, 1, 2)]
-                yield pa.RecordBatch.from_arrays([*both, pa.array(into, pa.int32()), pa.array(look, pa.int32())], names=["doc_id", "text", "o", "block", "look"])
+                z = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()], pa.binary())
+                both = [x.take(pa.array(index)) for x in (part.column(0), z, part.column(2), part.column(3))]
+                yield pa.RecordBatch.from_arrays([*both, pa.array(into, pa.int32()), pa.array(look, pa.int32())], names=["doc_id", "z", "o", "tie", "block", "look"])
 
-    dealt = slim.withColumn("o", order).mapInArrow(deal, "doc_id long, text string, o long, block int, look int")
-    return dealt.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions("look", "o", "text").select("doc_id", "text", "look")
+    keyed = slim.withColumns({"o": order, "tie": F.xxhash64("text")})
+    dealt = keyed.mapInArrow(deal, "doc_id long, z binary, o long, tie long, block int, look int")
+    return dealt.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions("look", "o", "tie").select("doc_id", "z", "look")
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -160,7 +164,7 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
     """Each text against itself with its last quarter replaced from the next document, and against that document.
 
     Texts move once, to stand in order of doc_id (null ids first; rows of one id
-    by text). Null texts count as empty; a single document is its own next one;
+    by a hash of the text). Null texts count as empty; a single document is its own next one;
     an empty table gives no rows; extra columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs.select("text"), "text", band))
@@ -184,10 +188,11 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
             return made
 
         for batch in batches:
-            for part in slices(batch, 1):
-                for doc_id, text, look in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for part in slices(batch, 1, 1 << 20):
+                for doc_id, z, look in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if done:
                         break
+                    text = zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
                     now = (doc_id, text, fingerprint(text, words))
                     if held is not None:
                         out.append(row(held, now))
