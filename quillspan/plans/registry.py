@@ -1,4 +1,4 @@
-"""The registered queries and their SQL; filled by the modules of this folder."""
+"""The registered queries and their SQL, from the modules of this folder."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import benchmark, consensus, panel
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [consensus, panel, benchmark]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
