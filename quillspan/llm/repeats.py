@@ -39,7 +39,7 @@ from .common import arrow_schema, mix, partitions, per_text, slices, written
 LENGTH, GRAM = 200, 24
 SIDE = LENGTH - GRAM
 #: An anchor with more different surroundings than this is counted by string.
-MOST = 20_000
+MOST = 60_000
 #: Bytes of surroundings that are sorted at once.
 ARRAY_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -222,7 +222,7 @@ class Aligned:
         left. In the others every suffix is an occurrence of the repeat that its
         innermost interval stands for, as long as the larger of its two common prefixes.
         """
-        edge = np.zeros((self.rows, self.cells.shape[1] + 1), np.int32)
+        edge = np.zeros((self.rows, self.cells.shape[1] + 1), np.int16)
         for column in range(SIDE, -1, -1):
             if column < SIDE:
                 self.step(column)
@@ -238,7 +238,7 @@ class Aligned:
             rows = self.order[at]
             edge[rows, column] += 1
             edge[rows, column + np.maximum(self.prefix[at], self.prefix[at + 1])] -= 1
-        return np.cumsum(edge, axis=1)[:, :-1] > 0
+        return np.cumsum(edge, axis=1, dtype=np.int16)[:, :-1] > 0
 
 
 def covered(rows: list[tuple[int, int, int, bytes]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
