@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark, consensus, panel
+from . import benchmark, consensus, panel, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [consensus, panel, benchmark]
+MODULES = [consensus, panel, benchmark, text]
 
 
 def queries() -> dict[str, Query]:
