@@ -33,7 +33,7 @@ from .common import WordHashes, fresh, grams, hot_join, mix, per_text, written
 SHINGLE, LIKE = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Texts of a bucket that are compared at once where a bucket holds several classes.
-BLOCK = 64
+BLOCK = 512
 CELL = np.uint64(0x9E3779B97F4A7C15)
 DART = np.uint64(0xD1B54A32D192ED03)
 
