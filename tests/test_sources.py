@@ -63,3 +63,9 @@ def test_resume_and_stream(spark, tmp_path):
     pages.write.json(str(tmp_path / "in"))
     resume.follow(spark, str(tmp_path / "in"), schema, out, str(tmp_path / "cp"), work).awaitTermination(60)
     assert spark.read.parquet(out).count() == 4
+
+
+def test_exports():
+    import quillspan
+
+    assert all(callable(getattr(quillspan, n)) for n in quillspan.__all__)
