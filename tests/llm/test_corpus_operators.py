@@ -252,3 +252,22 @@ def test_warc_sql(spark):
     want = {tuple(r) for r in con.sql(queries.oracle_sql()["op5_warc_zstd"]).fetchall()}
     got = queries.queries()["op5_warc_zstd"](spark, DIR).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert {tuple(r) for r in got.collect()} == want and F is not None
+
+
+def test_maximal_repeats_equal_brute_force():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(60):
+        text = [rng.randint(1, 2) for _ in range(24)]
+        want = set()
+        for n in range(3, 24):
+            places = {}
+            for i in range(len(text) - n + 1):
+                places.setdefault(tuple(text[i : i + n]), []).append(i)
+            for at in places.values():
+                before, after = ({text[i + d] if 0 <= i + d < len(text) else -i - 9 for i in at} for d in (-1, n))
+                if len(at) > 1 and len(before) > 1 and len(after) > 1:
+                    want.add((n, tuple(at)))
+        got = {(n, tuple(sorted(at.tolist()))) for n, at in repeats.maximal_repeats(np.array(text), 3, np.arange(24))}
+        assert got == want
