@@ -298,8 +298,8 @@ REGIONS = f"""WITH {sql.CORPUS}, x AS (SELECT document, page AS region, method,
 
 @query("j09_region_errors", REGIONS)
 def j09(spark, sf_dir):
-    text = F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "").alias("text")
-    rows = fixtures.pages(spark, sf_dir).select("method", "document", F.col("page").alias("region"), text)
+    # Whole texts, as they are; REGIONS still compares their first 60 characters, without those beyond ASCII, so it differs.
+    rows = fixtures.pages(spark, sf_dir).select("method", "document", F.col("page").alias("region"), "text")
     return B.regions(rows.where("method = 'alpha'").drop("method"), rows.where("method in ('beta', 'gamma') and text <> ''"))
 
 
