@@ -5,7 +5,8 @@ of every five words seeds the comparison: an item is compared with a document
 only if they share a seed. For such a pair the longest common run of words that
 is still unmarked on both sides is marked as a tile, again and again, down to
 runs of five words; tiles never overlap, and their order doesn't matter, so
-reordered passages count in full. An item whose tiles cover the threshold's
+reordered passages count in full. An item of fewer than five words is its own
+seed and tile: it is found where it stands whole. An item whose tiles cover the threshold's
 share of its words is found in the document.
 
 The benchmark is sent to the executors in blocks of bounded size: one block is
@@ -62,25 +63,23 @@ def tiles(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], least:
     return out
 
 
-class Index:
-    """Items by seed. Items of fewer than five words have none and are never found."""
+class Seeds:
+    """The seeds of ``width`` words of some items, in order."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        hashes = WordHashes()
-        self.items = [(i, hashes.of(t)) for i, t in items]
-        self.items = [(i, w) for i, w in self.items if len(w) >= WORDS]
-        seeds = [grams(w, WORDS) for _, w in self.items]
-        allseeds = np.concatenate([*seeds, np.zeros(0, np.uint64)])
+    def __init__(self, items: list[tuple[int, np.ndarray]], width: int):
+        self.items, self.width = items, width
+        seeds = [grams(w, width) for _, w in items]
+        allseeds = np.concatenate(seeds)
         order = np.argsort(allseeds, kind="stable")
         self.seeds = allseeds[order]
         self.owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])[order]
-        self.place = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, int)])[order].astype(int)
+        self.place = np.concatenate([np.arange(len(s)) for s in seeds])[order].astype(int)
 
     def found(self, doc: np.ndarray, cover: float) -> list[tuple[int, int, int, int, float]]:
-        out = []
-        if len(doc) < WORDS or not len(self.seeds):
+        out, width = [], self.width
+        if len(doc) < width:
             return out
-        mine = grams(doc, WORDS)
+        mine = grams(doc, width)
         first = np.searchsorted(self.seeds, mine)
         at = np.flatnonzero(self.seeds[np.minimum(first, len(self.seeds) - 1)] == mine)
         if not len(at):
@@ -95,19 +94,32 @@ class Index:
         cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1), len(owner)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             item_id, words = self.items[owner[a]]
-            reach = np.zeros(len(words) + WORDS, bool)
-            for k in range(WORDS):
+            reach = np.zeros(len(words) + width, bool)
+            for k in range(width):
                 reach[i[a:b] + k] = True
             if reach.sum() < cover * len(words) - 1e-9:
                 continue  # the tiles lie within the seeds, so they can't cover more
-            same = [(x, y) for x, y in zip(i[a:b].tolist(), j[a:b].tolist(), strict=True) if (words[x : x + WORDS] == doc[y : y + WORDS]).all()]
-            got = tiles(words, doc, same)
+            same = [(x, y) for x, y in zip(i[a:b].tolist(), j[a:b].tolist(), strict=True) if (words[x : x + width] == doc[y : y + width]).all()]
+            got = tiles(words, doc, same, width)
             n = sum(x[2] for x in got)
             if n >= cover * len(words) - 1e-9:
                 out.append((item_id, len(words), n, len(got), round(n / len(words), 6)))
         return out
 
 
+class Index:
+    """Items by seed: of five words, or of all the words of an item that has fewer. Items without words are never found."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        hashes = WordHashes()
+        worded = [(i, w) for i, w in ((i, hashes.of(t)) for i, t in items) if len(w)]
+        width = lambda x: min(WORDS, len(x[1]))
+        self.parts = [Seeds([x for x in worded if width(x) == n], n) for n in sorted(set(map(width, worded)))]
+
+    def found(self, doc: np.ndarray, cover: float) -> list[tuple[int, int, int, int, float]]:
+        return [x for p in self.parts for x in p.found(doc, cover)]
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of ``most`` bytes of text, one in memory at a time."""
     block, size = [], 0
@@ -142,8 +154,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and item found in it: (doc_id, item_id, n_words, n_covered, n_tiles, coverage).
 
     Null and empty texts contain nothing; items of fewer than five words are
-    never found; repeated documents and items give a row each; an empty table on
-    either side gives no rows. Extra columns are ignored.
+    found where they stand whole, items without words never; repeated documents
+    and items give a row each; an empty table on either side gives no rows. Extra
+    columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col("text"))
     found = annotate(slim, benchmark, "hits", cover=cover)

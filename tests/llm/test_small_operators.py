@@ -126,6 +126,13 @@ def test_contamination_in_any_order(spark):
     assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0)).count() == 0 and decontaminate.decontaminate(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_by_short_items(spark):
+    bench = spark.createDataFrame([(1, "too short"), (2, "Paris"), (3, "a b c d"), (4, "?!"), (5, "a b c d e"), (6, "too short")], "item_id long, text string")
+    rows = [(1, "it is too short, really"), (2, "short too paris"), (3, "a b c x d"), (4, "x a b c d"), (5, "a b c d e"), (6, "?!"), (7, "Too short")]
+    found = {(r["doc_id"], r["item_id"]): (r["n_words"], r["n_covered"], r["n_tiles"], r["coverage"]) for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert found == {(1, 1): (2, 2, 1, 1.0), (1, 6): (2, 2, 1, 1.0), (2, 2): (1, 1, 1, 1.0), (4, 3): (4, 4, 1, 1.0), (5, 3): (4, 4, 1, 1.0), (5, 5): (5, 5, 1, 1.0), (7, 1): (2, 2, 1, 1.0), (7, 6): (2, 2, 1, 1.0)}
+
+
 def test_tiles_equal_greedy_search():
     import numpy as np
 
