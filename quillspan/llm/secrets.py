@@ -40,8 +40,13 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}+", 0, 16),
 )
+#: A private key runs from its BEGIN line to its END line. Where another BEGIN or END, or none, comes first, it runs over the
+#: header lines and the runs of base64 that follow, of which an earlier rule may have masked a part; the last may be short.
+GAP = r"(?:\s|\\[nr])"
+KEY_HEADERS = rf"(?:{GAP}++(?:Proc-Type|DEK-Info):[^\r\n]*+)*+"
+KEY_BODY = rf"(?:{KEY_HEADERS}(?:{GAP}*+(?:[A-Za-z0-9+/=\[\]]{{16,}}+|\[SECRET\]))++(?:{GAP}++[A-Za-z0-9+/]++(?:=++|(?=[\r\n]|$)))?+)?"
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----|{KEY_BODY})", 0, 0),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 RULES = BASE + ADDED
