@@ -306,7 +306,7 @@ def x06(spark, sf_dir):
 
 @query("a31_bootstrap")
 def a31(spark, sf_dir):
-    return rounded(statistics.bootstrap(C.page_scores(scores(spark, sf_dir)), 200), "share_first", "low", "high")
+    return rounded(statistics.bootstrap(C.page_scores(scores(spark, sf_dir))), "share_first", "low", "high")
 
 
 @query("a35_timings", "SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(max(value), 6) AS longest FROM events GROUP BY event_type")

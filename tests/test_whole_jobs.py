@@ -1,6 +1,8 @@
 """Registered queries on whole inputs, against brute force on small tables of their own."""
 
+from quillspan.operators import consensus, statistics
 from quillspan.plans import registry
+from quillspan.plans.consensus import rounded, scores
 
 
 def edits(a, b):
@@ -29,3 +31,10 @@ def test_region_errors_of_whole_texts(spark, tmp_path):
             r = got[method, document]
             assert (r["regions"], r["correct_regions"]) == (3, sum(a == b for a, b in pairs))
             assert (r["region_characters"], r["region_edit_distance"]) == (sum(len(a) for a, _ in pairs), sum(edits(a, b) for a, b in pairs))
+
+
+def test_bootstrap_of_2000_repetitions(spark, tmp_path):
+    folder = talk(spark, tmp_path, [f"one two three {'seven eight open ' * (i % 4)}{i} end" for i in range(12)])
+    want = rounded(statistics.bootstrap(consensus.page_scores(scores(spark, folder)), 2000), "share_first", "low", "high").collect()
+    got = registry.queries()["a31_bootstrap"](spark, folder).collect()
+    assert len(got) == 5 and sorted(got) == sorted(want)
