@@ -1,8 +1,11 @@
 """Registered queries on whole inputs, against brute force on small tables of their own."""
 
+from itertools import combinations
+
 from quillspan.operators import consensus, statistics
 from quillspan.plans import registry
 from quillspan.plans.consensus import rounded, scores
+from quillspan.sources import fixtures
 
 
 def edits(a, b):
@@ -38,3 +41,14 @@ def test_bootstrap_of_2000_repetitions(spark, tmp_path):
     want = rounded(statistics.bootstrap(consensus.page_scores(scores(spark, folder)), 2000), "share_first", "low", "high").collect()
     got = registry.queries()["a31_bootstrap"](spark, folder).collect()
     assert len(got) == 5 and sorted(got) == sorted(want)
+
+
+def test_changes_and_repairs_of_the_whole_panel(spark, tmp_path):
+    """Every pair of methods whose words differ has changes, and every method's pages are repaired."""
+    folder = talk(spark, tmp_path, ["seven open gates were left ajar by the old keeper", "nothing odd in any of these seven words here", "an ending of some other words that go on and on"])
+    words = {(r["page"], r["method"]): r["text"].casefold().split() for r in fixtures.pages(spark, folder).collect()}
+    want = {(p, a, b) for p in (1, 2, 3) for a, b in combinations(fixtures.METHODS, 2) if words[p, a] != words[p, b]}
+    changes = registry.queries()["j12_changes"](spark, folder)
+    assert {tuple(r)[1:4] for r in changes.collect()} == want and len({x[1:] for x in want}) == 10
+    repaired = registry.queries()["j03_hyphen_repair"](spark, folder).collect()
+    assert sorted((r["page"], r["method"]) for r in repaired) == [(p, m) for p in (1, 2, 3) for m in fixtures.METHODS]
