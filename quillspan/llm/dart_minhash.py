@@ -132,7 +132,7 @@ def node(id_col: str, text: str) -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(node, copy, n, bands): copy is a 128-bit hash of the words, or of the text if it has none."""
+    """(node, text_hash, copy, n, bands): copy is a 128-bit hash of the words, or of the text if it has none."""
 
     def run(texts):
         hashes, darts = WordHashes.shared(), DartMinHash(BANDS * ROWS)
@@ -145,22 +145,22 @@ def signed(docs: DataFrame) -> DataFrame:
             keys.append(bands(darts.signature(elements)))
         return [copies, sizes, keys]
 
-    return per_text(docs, "text", ["node"], "copy binary, n long, bands array<long>", run)
+    return per_text(docs, "text", ["node", "text_hash"], "copy binary, n long, bands array<long>", run)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents ``wanted``, written once for all that compares them."""
+    """(key, shingles) of the texts ``wanted`` (key, node, text_hash), written once for all that compares them."""
 
     def run(texts):
         hashes = WordHashes.shared()
         return [[shingles(hashes, t).view(np.int64) for t in texts]]
 
-    return written(per_text(docs.join(wanted, "node", "left_semi"), "text", ["node"], "shingles array<long>", run))
+    return written(per_text(docs.join(wanted, ["node", "text_hash"]), "text", ["key"], "shingles array<long>", run))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
-    """Of the pairs (a, b) those whose documents' shingles have a Jaccard similarity of ``like`` or more."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    """Of the pairs (a, b) of keys those whose texts' shingles have a Jaccard similarity of ``like`` or more."""
+    left, right = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,22 +206,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_links(texts: DataFrame, docs: DataFrame, like: float) -> DataFrame:
-    """Links (a, b) between different texts; ``texts`` has (node, n, bands), ``docs`` (node, text).
+    """Links (a, b) between the keys of different texts; ``texts`` has (key, node, text_hash, n, bands), ``docs`` (node, text_hash, text).
 
-    The centre of a bucket is its text with the most company in all buckets, which
+    A key is one text's, where an id may have several. The centre of a bucket is its text with the most company in all buckets, which
     in a family of copies is the one nearest to all others.
     """
-    keyed = texts.select("node", "n", F.explode("bands").alias("band"))
+    keyed = texts.select("key", "n", F.explode("bands").alias("band"))
     sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     near = written(keyed.join(sizes, "band"))
-    company = near.groupBy("node").agg(F.sum("size").alias("company"))
-    centres = near.join(company, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("company", -F.col("node"))).alias("centre"))
+    company = near.groupBy("key").agg(F.sum("size").alias("company"))
+    centres = near.join(company, "key").groupBy("band").agg(F.max_by(F.struct("key", "n"), F.struct("company", -F.col("key"))).alias("centre"))
     fits = lambda x, y: F.least(x, y) >= F.lit(like - 1e-9) * F.greatest(x, y)
-    first = near.join(centres, "band").where((F.col("node") != F.col("centre.node")) & fits(F.col("n"), F.col("centre.n")))
-    first = written(first.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct())
-    sets = shingle_sets(docs, near.select("node").distinct())
+    first = near.join(centres, "band").where((F.col("key") != F.col("centre.key")) & fits(F.col("n"), F.col("centre.n")))
+    first = written(first.select(F.col("key").alias("a"), F.col("centre.key").alias("b")).distinct())
+    sets = shingle_sets(docs, texts.select("key", "node", "text_hash").join(near.select("key").distinct(), "key", "left_semi"))
     links = verified(first, sets, like)
-    second = open_pairs(near, written(components(links)), sets, like)
+    second = open_pairs(near, written(components(links).withColumnRenamed("node", "key")), sets, like)
     known = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = written(second.join(known, ["a", "b"], "left_anti"))
     return links if second.isEmpty() else links.union(verified(second, sets, like))
@@ -234,27 +234,27 @@ def open_pairs(near: DataFrame, labels: DataFrame, sets: DataFrame, like: float)
     other shingles, ``most`` in number, bound its overlap with any of them, and a
     text whose bound is too low has no partner: it needs no comparison.
     """
-    members = near.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = near.where("size > 2").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    members = written(members.join(several, "band", "left_semi").select("band", "node", "n", "size", "label"))
-    each = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle")).distinct()
-    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node")).where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    bounded = members.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(like - 1e-9) * F.col("n"))
+    members = written(members.join(several, "band", "left_semi").select("band", "key", "n", "size", "label"))
+    each = sets.join(members.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("shingle")).distinct()
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key")).where("texts = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    bounded = members.join(own, "key", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(like - 1e-9) * F.col("n"))
     # Blocks of a bucket, each of which meets each: BLOCK texts of one and BLOCK of another at a time.
     left = bounded.groupBy("band").agg(F.count(F.lit(1)).alias("left"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     bounded = bounded.join(left.select("band", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks")), "band")
-    bounded = bounded.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = bounded.select("band", F.struct("node", "n", "most", "label", "block").alias("x"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    bounded = bounded.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = bounded.select("band", F.struct("key", "n", "most", "label", "block").alias("x"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     groups = dealt.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("x").alias("xs"))
     one = groups.select("i", "j", "xs", F.explode("xs").alias("x"))
 
     def meets(y: Column) -> Column:
         most = F.least(y["most"], F.col("x.most"))
         apart = (F.col("i") == F.col("j")) | (y["block"] != F.col("x.block"))
-        return (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")) & apart & (most >= F.lit(like - 1e-9) * (y["n"] + F.col("x.n") - most))
+        return (y["key"] > F.col("x.key")) & (y["label"] != F.col("x.label")) & apart & (most >= F.lit(like - 1e-9) * (y["n"] + F.col("x.n") - most))
 
-    met = F.explode(F.transform(F.filter("xs", meets), lambda y: y["node"])).alias("a")
-    return one.select(F.col("x.node").alias("b"), met).distinct().select("a", "b")
+    met = F.explode(F.transform(F.filter("xs", meets), lambda y: y["key"])).alias("a")
+    return one.select(F.col("x.key").alias("b"), met).distinct().select("a", "b")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", like: float = LIKE) -> DataFrame:
@@ -266,14 +266,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", li
     count as empty; rows that share an id are one document; rows without one are
     numbered from their texts. An empty table gives no rows; extra columns are ignored.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), node(id_col, text).alias("node"), F.col(f"`{text}`").alias("text"))
-    mine = written(signed(slim.select("node", "text")))
-    copies = written(mine.groupBy("copy").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")))
-    links = near_links(copies, slim.select("node", "text"), like)
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), node(id_col, text).alias("node"), F.xxhash64(content).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    mine = written(signed(slim.select("node", "text_hash", "text")))
+    copies = mine.groupBy("copy").agg(F.min(F.struct("node", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    copies = written(copies.select(F.monotonically_increasing_id().alias("key"), "copy", "of.node", "of.text_hash", "n", "bands", "rows"))
+    near = near_links(copies, slim.select("node", "text_hash", "text"), like)
+    nodes = lambda x: copies.select(F.col("key").alias(x), F.col("node").alias(f"node_{x}"))
+    links = near.join(nodes("a"), "a").join(nodes("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # Rows that share an id but not a text link their texts.
     ties = mine.groupBy("node").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo != hi").select("node")
     shared = mine.join(ties, "node", "left_semi").select("copy", F.col("node").alias("b")).distinct().join(copies.select("copy", F.col("node").alias("a")), "copy").select("a", "b")
-    labels = components(links.select("a", "b").union(shared))
+    labels = components(links.union(shared))
     named = copies.join(labels, "node", "left").select("copy", "rows", F.coalesce("label", "node").alias("class_id"))
     rows = hot_join(mine.select("copy", "node"), named, "copy", "rows", F.col("node")).select("node", "class_id").distinct()
     classes = rows.groupBy("node").agg(F.min("class_id").alias("class_id"))
