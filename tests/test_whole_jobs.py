@@ -52,3 +52,15 @@ def test_changes_and_repairs_of_the_whole_panel(spark, tmp_path):
     assert {tuple(r)[1:4] for r in changes.collect()} == want and len({x[1:] for x in want}) == 10
     repaired = registry.queries()["j03_hyphen_repair"](spark, folder).collect()
     assert sorted((r["page"], r["method"]) for r in repaired) == [(p, m) for p in (1, 2, 3) for m in fixtures.METHODS]
+
+
+def test_discovery_in_whole_documents(spark, tmp_path):
+    texts = [f"a start {'of many words ' * 9}and its own end", "short", None, "", "ab" * 50, "x" * 41, "é" * 40 + "y" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["block_id"], r["field_id"]): (r["schema_id"], r["span_start"], r["span_end"], r["issue"]) for r in registry.queries()["f21_x06_discovery"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * len(texts)
+    for i, t in enumerate(texts):
+        _, start, end, issue = got[str(i), "head"]
+        assert got[str(i), "lost"] == (f"r{i % 2}", None, None, "not_in_evidence")
+        assert (end, issue) == ((len(t), None) if t else (None, "not_in_evidence")) and (not t or start in (0, len(t) - 40))
+    assert got["0", "head"][1] == len(texts[0]) - 40
