@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
         "op5_warc_zstd": over("pages", warc.round_trip),
         "op6_repeat_removal": over("documents", repeats.remove_repeats),
         "op7_language_id": over("documents", language_id.language_id),
-        "op8_near_duplicates": over("documents", lambda docs: dart_minhash.near_classes(docs).select("doc_id", "class_id")),
+        "op8_near_duplicates": over("documents", dart_minhash.near_classes),
         "op9_url_filter": over("pages", url_filter.filter_urls),
         "op10_decontaminate": lambda spark, sf_dir: decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }

@@ -153,12 +153,24 @@ def test_repeats_on_odd_rows(spark):
 
 
 def shingle_set(text):
+    """Every occurrence of every shingle, numbered: set similarity of these is the weighted one."""
     w = re.findall(r"\w+", (text or "").lower())
     n = min(5, len(w))
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else {(text or "",)}
+    seen, out = Counter(), set()
+    for i in range(len(w) - n + 1) if w else ():
+        g = tuple(w[i : i + n])
+        seen[g] += 1
+        out.add((g, seen[g]))
+    return out or {(text or "",)}
+
+
+def alike(a, b):
+    both = len(a & b)
+    return both >= 0.8 * (len(a) + len(b) - both) - 1e-9
 
 
 def classes(rows):
+    """The least id of each row's class, in the order of the rows."""
     sets = [shingle_set(t) for _, t in rows]
     label = list(range(len(rows)))
 
@@ -169,19 +181,18 @@ def classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            if alike(sets[i], sets[j]):
                 label[root(i)] = root(j)
-    groups = {}
-    for i in range(len(rows)):
-        groups.setdefault(root(i), []).append(rows[i][0])
-    return {d: min(g) for g in groups.values() for d in g}
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return [least[root(i)] for i in range(len(rows))]
 
 
 def near_rows():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
-    rows = [(900, None), (901, ""), (902, "!!"), (903, "one two"), (904, "One, two"), (905, "one two three")]
+    rows = [(900, None), (901, ""), (902, "!!"), (903, "one two"), (904, "One, two"), (905, "one two three"), (906, "a b c d e " * 40), (907, "a b c d e " * 44), (908, "a b c d e " * 80)]
     for family in range(6):
         base = [word() for _ in range(120)]
         for k in range(12):
@@ -192,25 +203,32 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [dart_minhash.BLOCK, 2])
-def test_classes_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(dart_minhash, "BLOCK", block)
+def test_classes_equal_brute_force(spark):
     rows = near_rows()
-    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(docs(spark, rows)).collect()}
-    assert got == classes(rows)
+    got = {r["doc_id"]: r for r in dart_minhash.near_classes(docs(spark, rows)).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == dict(zip((i for i, _ in rows), classes(rows), strict=True))
+    sets = {i: shingle_set(t) for i, t in rows}
+    for i, r in got.items():
+        linked = sum(alike(sets[i], s) and s != sets[i] for s in sets.values())
+        assert (r["links"] == 0) == (linked == 0) and r["links"] <= linked
 
 
 def test_near_duplicates_on_odd_rows(spark):
     same = "a b c d e f g"
-    rows = [(3, same), (3, same), (None, same), (2, "p q r s t u"), (2, "v w x y z k")]
+    rows = [(3, same), (3, same), (None, same), (2, "p q r s t u"), (2, "v w x y z k"), (5, "long " * 60_000 + "end"), (6, "long " * 60_000 + "fin")]
     df = docs(spark, rows)
-    assert dart_minhash.near_classes(df).count() == 5 and dart_minhash.near_classes(docs(spark, [])).count() == 0
+    got = dart_minhash.near_classes(df).collect()
+    assert len(got) == 7 and {r["copies"] for r in got if r["doc_id"] in (3, None)} == {3} and {r["class_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
+    assert dart_minhash.near_classes(docs(spark, [])).count() == 0 and dart_minhash.one_of_each(docs(spark, [])).count() == 0
     kept = dart_minhash.one_of_each(df)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "5", "None"]
+    again = spark.createDataFrame([(3, same, "en", "s", n, "x", 1, True) for n in (7, 7, 8)], DOCS)
+    assert len(dart_minhash.one_of_each(again).collect()) == 1
 
 
-def test_near_duplicates_of_texts_that_share_an_id(spark, monkeypatch):
-    """Drifting texts in one bucket, each linked to the next few only, whose ids also have a text that no other has."""
+@pytest.mark.parametrize("ids", [True, False])
+def test_drifting_texts_of_one_bucket_lose_no_link(spark, monkeypatch, ids):
+    """Texts in one bucket, each linked to the next few of its family only; with ``ids`` unlike texts share their ids."""
     signed = dart_minhash.signed
     monkeypatch.setattr(dart_minhash, "signed", lambda df: signed(df).withColumn("bands", F.array(F.lit(0).cast("long"))))
     rng = random.Random(7)
@@ -221,14 +239,35 @@ def test_near_duplicates_of_texts_that_share_an_id(spark, monkeypatch):
         for k in range(10):
             words[12 * k] = word()
             rows.append((family * 20 + k, " ".join(words)))
-    rows += [(i, " ".join(word() for _ in range(200))) for i, _ in rows]
-    alike, least = classes([(n, t) for n, (_, t) in enumerate(rows)]), {}
-    for n, (i, _) in enumerate(rows):
-        least[alike[n]] = min(i, least.get(alike[n], i))
-    want = {i: least[alike[n]] for n, (i, _) in enumerate(rows[:60])}
-    assert len(set(want.values())) == 6
-    got = {(r["doc_id"], r["class_id"]) for r in dart_minhash.near_classes(docs(spark, rows)).collect()}
-    assert got == set(want.items())
+    rows += [(i + 1000 * (not ids), " ".join(word() for _ in range(200))) for i, _ in rows]
+    want = Counter(zip((i for i, _ in rows), classes(rows), strict=True))
+    assert len({c for (i, c) in want if i != c}) == 6
+    got = Counter((r["doc_id"], r["class_id"]) for r in dart_minhash.near_classes(docs(spark, rows)).collect())
+    assert got == want
+
+
+def test_prefix_filter_rules_out_no_pair(spark):
+    """Random sets that overlap in all degrees, each in a class of its own, all in one bucket."""
+    rng = random.Random(11)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(400), 40)
+        for k in range(10):
+            sets.append(sorted(set(rng.sample(base, 40 - k % 5) + rng.sample(range(400, 420), k % 3) + [1000 + len(sets)] * (k % 2))))
+    near = spark.createDataFrame([(i, 0, len(s), len(sets)) for i, s in enumerate(sets)], "key long, band long, n long, size long")
+    got = dart_minhash.open_pairs(near, spark.createDataFrame([], "key long, label long"), spark.createDataFrame(list(enumerate(sets)), "key long, shingles array<long>"), 0.8)
+    found = {(r["a"], r["b"]) for r in got.collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if alike(set(sets[i]), set(sets[j]))}
+    assert len(want) > 50 and want <= found and len(found) < len(sets) * (len(sets) - 1) // 4
+
+
+def test_recall_of_near_duplicates(spark):
+    """Every id divisible by 50 against all documents: linked ones are in its class."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: shingle_set(r["text"]) for r in df.collect()}
+    of = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(df).collect()}
+    links = [(i, j) for i in rows if i % 50 == 0 for j in rows if i != j and alike(rows[i], rows[j])]
+    assert links and sum(of[i] == of[j] for i, j in links) >= 0.99 * len(links)
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -265,7 +304,7 @@ def test_pipeline(spark):
     after = {n: seen[m] for (n, _), (m, _) in zip(corpus_pipeline.STAGES, corpus_pipeline.STAGES[1:], strict=False)}
     assert set(after["language_id"]) == {i for i, t in seen["language_id"].items() if re.search(r"[^\W\d_]", t or "")}
     near = classes(sorted(seen["near_duplicates"].items()))
-    assert set(after["near_duplicates"]) == set(near.values())
+    assert set(after["near_duplicates"]) == set(near)
     words = lambda t: f" {' '.join(re.findall(r'\w+', (t or '').lower()))} "
     leaked = {i for i, t in seen["decontaminate"].items() if any(words(b) in words(t) for b in bench)}
     assert leaked and not leaked & set(after["decontaminate"]) and len(set(seen["decontaminate"]) - set(after["decontaminate"]) - leaked) <= 2
