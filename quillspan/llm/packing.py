@@ -2,7 +2,10 @@
 
 Documents become pieces no longer than the largest permitted sequence length;
 pieces are dealt at random, by hash, into shards of a fixed expected size, and
-each shard is packed on its own by best-fit decreasing. Every permitted length
+each shard is packed on its own. One plan chooses the length of every bin jointly with
+its contents: each permitted length is filled on trial, longest items first, and
+the one of least cost per unit of its contents is opened. In the other plans, which
+are best-fit decreasing, every permitted length
 is tried as the one to open bins with (the least cost per unit first); each
 plan's bins are then downsized to the cheapest length that still holds their
 contents, and the plan of least total cost wins.
@@ -62,12 +65,50 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], cost: Callable[[
     return placed
 
 
+def mixed_fit(lengths: Sequence[int], capacities: Sequence[int], cost: Callable[[int], float]) -> list[tuple[int, int]]:
+    """(bin, offset) per item, for items in descending order, with the size of every bin chosen for what it will hold.
+
+    For the longest item left, each capacity that holds it is filled on trial with
+    the longest items that still fit; the bin that costs least per unit of its
+    contents is opened, at the size that these need (ties: the larger one).
+    """
+    left = sorted((n, -i) for i, n in enumerate(lengths))  # ascending; of equal items the first stands last
+    placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+    b = 0
+    while left:
+        best: tuple[float, int, list[int]] | None = None
+        for capacity in sorted(capacities, reverse=True):
+            if capacity < left[-1][0]:
+                break
+            taken, room, at = [], capacity, len(left) - 1
+            while at >= 0:
+                taken.append(at)
+                room -= left[at][0]
+                at = min(at, bisect_left(left, (room + 1, float("-inf")))) - 1
+            used = capacity - room
+            rate = min(cost(c) for c in capacities if c >= used) / max(1, used)
+            if best is None or rate < best[0] - 1e-12:
+                best = (rate, used, taken)
+        offset = 0
+        for k in best[2]:
+            n, i = left[k]
+            placed[-i] = (b, offset)
+            offset += n
+        for k in best[2]:
+            left.pop(k)
+        b += 1
+    return placed
+
+
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = unit_cost) -> list[tuple[int, int, int]]:
-    """(bin, capacity, offset) per item; the cheapest of one plan for each opening size, after downsizing."""
+    """(bin, capacity, offset) per item; the cheapest, after downsizing, of a plan that mixes sizes and one for each opening size."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    items = [lengths[i] for i in order]
     best, least = [], float("inf")
-    for opening in sorted(capacities, key=lambda c: (cost(c) / c, -c)):
-        placed = best_fit([lengths[i] for i in order], capacities, cost, opening)
+    plans = [lambda: mixed_fit(items, capacities, cost)]
+    plans += [lambda c=c: best_fit(items, capacities, cost, c) for c in sorted(capacities, key=lambda c: (cost(c) / c, -c))]
+    for plan in plans:
+        placed = plan()
         load: dict[int, int] = {}
         for i, (b, _) in zip(order, placed, strict=True):
             load[b] = load.get(b, 0) + lengths[i]
