@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +33,8 @@ from .common import WORD, arrow_schema, partitions, per_text, slices
 BAND = (1 / 1000, 1 / 10)
 #: Subsets that hold one term in 2**d, so many of each d; the first hash is over the whole band.
 DENSITIES, REPEATS = (1, 3, 5, 6, 7, 8, 9), 8
-#: With fewer terms in the band than this, all distinct terms of the text count.
-LEAST_TERMS = 4
+#: The first hash of a text that has terms, but none in the band; the second is over all its terms.
+OUTSIDE = "f" * 8
 NONE = "0" * 8
 SIZE = 1 + len(DENSITIES) * REPEATS
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_terms long"
@@ -56,21 +56,29 @@ def subsets(term: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def told(row: Iterable[str]) -> str:
+    """The hash of sorted terms as eight hex digits, neither all 0 (no terms) nor all f (the marker)."""
+    if not row:
+        return NONE
+    x = hashlib.blake2b(" ".join(sorted(row)).encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
+    return {NONE: "00000001", OUTSIDE: "fffffffe"}.get(x, x)
+
+
 def fingerprint(text: str, lexicon: frozenset[str]) -> tuple[str, int]:
-    """(hex fingerprint, number of terms it stands on)."""
+    """(hex fingerprint, number of terms it stands on).
+
+    All zeros without any term; a marker and a hash of all terms where none is in
+    the band, so that such texts are alike if they have the same terms only.
+    """
     every = terms(text)
     kept = every & lexicon
-    if len(kept) < LEAST_TERMS:
-        kept = every
+    if every and not kept:
+        return OUTSIDE + told(every) + NONE * (SIZE - 2), 0
     rows: list[list[str]] = [[] for _ in range(SIZE)]
     for term in sorted(kept):
         for j in subsets(term):
             rows[j].append(term)
-    parts = []
-    for row in rows:
-        x = hashlib.blake2b(" ".join(row).encode("utf-8", "surrogatepass"), digest_size=4).hexdigest() if row else NONE
-        parts.append("00000001" if row and x == NONE else x)
-    return "".join(parts), len(kept)
+    return "".join(map(told, rows)), len(kept)
 
 
 def likeness(a: str, b: str) -> float:
@@ -85,8 +93,8 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8)]
     groups = [pairs[i : i + REPEATS] for i in range(1, SIZE, REPEATS)]
-    told = [[x == y for x, y in g if x != NONE or y != NONE] for g in groups]
-    shares = [sum(t) / len(t) for t in told if 2 * len(t) >= REPEATS]
+    equal = [[x == y for x, y in g if x != NONE or y != NONE] for g in groups]
+    shares = [sum(e) / len(e) for e in equal if 2 * len(e) >= REPEATS]
     every = [x == y for x, y in pairs if x != NONE or y != NONE]
     return round(max(shares, default=sum(every) / len(every)), 6)
 
@@ -164,8 +172,10 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
     """Each text against itself with its last quarter replaced from the next document, and against that document.
 
     Texts move once, to stand in order of doc_id (null ids first; rows of one id
-    by a hash of the text). Null texts count as empty; a single document is its own next one;
-    an empty table gives no rows; extra columns are ignored.
+    by a hash of the text; equal rows in any order, since their results are equal
+    but for the last one's next text). Null texts count as empty; a single document
+    is its own next one; very long texts are read whole, one at a time. An empty
+    table gives no rows; extra columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs.select("text"), "text", band))
     schema = arrow_schema(SCHEMA)
