@@ -127,10 +127,17 @@ def row(headers: dict[str, str], payload: bytes) -> tuple:
 
 
 def store(root: str):
-    """(file system, path) of an address; a bare path is local, as shared folders of tests are."""
+    """(file system, path) of an address with a scheme."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+    return fs.FileSystem.from_uri(root)
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The address with the scheme and host that it has by Spark's settings: a bare path may be in any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    address = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"file://{address.getPath()}" if address.getScheme() == "file" else address.toString()
 
 
 def resolve(pages: DataFrame, least: int = LEAST, hot: int = 256) -> DataFrame:
@@ -179,9 +186,16 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
 def read_archives(spark: SparkSession, root: str, manifest: DataFrame | None = None, payload: bool = False) -> DataFrame:
     """A row for each record of the archives below ``root``, in the manifest if one is given; with ``payload``, also the stored bytes (null in a revisit)."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(root)
-    if manifest is not None and manifest.count() != found.select("path").count():
-        # Some task was run again: leave out what its lost attempt wrote.
-        found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest.select("name"), "name", "left_semi")
+    if manifest is not None:
+        # Where a task was run again, what its lost attempt wrote is left out; what the manifest has must be there, whole.
+        # Names and lengths only are joined; contents move where there are strays.
+        named = found.select("path", F.col("length").alias("n_found"), F.element_at(F.split("path", "/"), -1).alias("name"))
+        both = written(manifest.select("name", "n_bytes").join(named, "name", "full"))
+        lost = both.where("n_bytes is not null and (n_found is null or n_found <> n_bytes)").select("name").first()
+        if lost:
+            raise ValueError(f"an archive is missing or cut short: {lost['name']}")
+        if not both.where("n_bytes is null").isEmpty():
+            found = found.join(both.where("n_bytes is not null").select("path"), "path", "left_semi")
     schema = ROW + ", payload binary" * payload
     arrow = arrow_schema(schema)
 
@@ -209,11 +223,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null html counts as empty. Rows that repeat the largest id of their payload
     are all responses. Null ids stay null, and such a page refers to the largest
-    id of its payload if there is one; where all are null, all are responses. An
-    empty table gives no rows; extra columns are ignored.
+    id of its payload if there is one; where all are null, all are responses. Very
+    long pages are records of their own size, in an archive alone if they pass its
+    bound. An empty table gives no rows; extra columns are ignored.
     """
     spark = pages.sparkSession
-    root = scratch(spark)
+    root = qualified(spark, scratch(spark))
     manifest = write_archives(pages, root)
     if manifest.isEmpty():
         return spark.createDataFrame([], ROW)
