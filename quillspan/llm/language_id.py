@@ -8,8 +8,6 @@ bounded by that of the sample.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +17,8 @@ from .context_model import ContextModel
 
 #: The bound of the sample: so many documents of a language are expected in it, of so many bytes each at most.
 DOCS_PER_LANG, DOC_BYTES = 300, 65536
-LETTER = re.compile(r"[^\W\d_]")
+#: So many labels are learned, the most frequent ones; texts of the others get the nearest of these.
+MOST_LABELS = 256
 SCHEMA = "lang_pred string, score double, bits_per_byte double"
 #: score is a posterior; the code lengths behind it are scaled to those of a text of so many bytes.
 SCALE = 32
@@ -31,11 +30,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, label: str, text: str, where: Column, key: str, per_class: int, most_bytes: int) -> dict[str, list[bytes]]:
-    """Whole texts by label: about ``per_class`` of each, chosen by a hash of ``key`` and the text, ``most_bytes`` each at most."""
+    """Whole texts by label: about ``per_class`` of each of the MOST_LABELS most frequent, chosen by a hash of ``key`` and the text, ``most_bytes`` each at most."""
     mine = docs.where(where & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= most_bytes)).select(
         F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30)).alias("h")
     )
-    sizes = {r["label"]: r["n"] for r in mine.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = mine.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["label"]: r["n"] for r in counted.orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_class / n) * (1 << 30)))])
@@ -57,14 +57,16 @@ def identify(docs: DataFrame, model: ContextModel | None, keep: list[str], text:
 
     ``und`` with score 0 goes to a null text, one without letters, and to all if
     there is no model. Ties go to the first label in order. Very long texts are
-    coded in blocks of bounded memory, from start to end. Extra columns are ignored.
+    coded in blocks of bounded memory, from start to end. Repeated rows get the same
+    result each; an empty table gives no rows. Columns of ``keep`` may have the
+    added names, which then get underscores. Extra columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
         model = sent.value
         lang, score, rate = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
         if at:
             raw = [texts[i].lower().encode("utf-8", "surrogatepass") for i in at]
             size = np.array([len(x) for x in raw])
