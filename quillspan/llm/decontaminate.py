@@ -79,18 +79,21 @@ class Seeds:
         out, width = [], self.width
         if len(doc) < width:
             return out
-        mine = grams(doc, width)
+        # Each seed of the document once, with its places; its repetitions count for items that pass only.
+        every = grams(doc, width)
+        places = np.argsort(every, kind="stable")
+        mine, start, times = np.unique(every[places], return_index=True, return_counts=True)
         first = np.searchsorted(self.seeds, mine)
         at = np.flatnonzero(self.seeds[np.minimum(first, len(self.seeds) - 1)] == mine)
         if not len(at):
             return out
         last = np.searchsorted(self.seeds, mine[at], side="right")
         count = last - first[at]
-        j = np.repeat(at, count)
+        seed = np.repeat(at, count)
         row = np.repeat(first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, i = self.owner[row], self.place[row]
         order = np.argsort(owner, kind="stable")
-        owner, i, j = owner[order], i[order], j[order]
+        owner, i, seed = owner[order], i[order], seed[order]
         cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1), len(owner)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             item_id, words = self.items[owner[a]]
@@ -99,7 +102,8 @@ class Seeds:
                 reach[i[a:b] + k] = True
             if reach.sum() < cover * len(words) - 1e-9:
                 continue  # the tiles lie within the seeds, so they can't cover more
-            same = [(x, y) for x, y in zip(i[a:b].tolist(), j[a:b].tolist(), strict=True) if (words[x : x + width] == doc[y : y + width]).all()]
+            met = ((x, y) for x, s in zip(i[a:b].tolist(), seed[a:b].tolist(), strict=True) for y in places[start[s] : start[s] + times[s]].tolist())
+            same = [(x, y) for x, y in met if (words[x : x + width] == doc[y : y + width]).all()]
             got = tiles(words, doc, same, width)
             n = sum(x[2] for x in got)
             if n >= cover * len(words) - 1e-9:
@@ -121,7 +125,7 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of ``most`` bytes of text, one in memory at a time."""
+    """The items in blocks of ``most`` bytes of text, one in memory at a time; ties in coverage keep all items."""
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).cast("long"), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
         if block and size + len(r[1]) > most:
@@ -155,8 +159,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts contain nothing; items of fewer than five words are
     found where they stand whole, items without words never; repeated documents
-    and items give a row each; an empty table on either side gives no rows. Extra
-    columns are ignored.
+    and items give a row each; of matches of one length the leftmost in the item,
+    then in the document, is marked first. Very long texts are compared whole: a
+    text's memory grows with its words and with the places where an item that
+    its seeds may cover repeats in it. An empty table on either side gives no
+    rows. Extra columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col("text"))
     found = annotate(slim, benchmark, "hits", cover=cover)
