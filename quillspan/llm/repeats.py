@@ -9,14 +9,15 @@ strings are dealt out by what they contain:
    meet where their anchor's hash is dealt. About one byte in 90 starts an anchor.
 2. What surrounds an anchor (176 bytes to each side) decides which of the strings
    around it repeat. Anchors that occur once are done; places of equal
-   surroundings, told by a second hash, repeat as a whole, however many there
+   surroundings, told by another hash, repeat as a whole, however many there
    are, and one of them stands for all from there on.
-3. Different surroundings of one anchor are put into enhanced suffix arrays. In
-   the tree of their common-prefix intervals, those of 200 bytes or more whose
-   occurrences differ in the byte before are the maximal repeats, each with all
-   its occurrences, and all of those are covered.
+3. Different surroundings of one anchor are put into enhanced suffix arrays, one
+   for each column. A stack scan goes through the intervals of their common
+   prefixes; those of 200 bytes or more whose occurrences differ in the byte
+   before are the maximal repeats, each a group with all its occurrences, and all
+   of those are covered. repeat_groups puts the groups out.
    An anchor with very many different surroundings is not sent to one task:
-   there each 200-byte string around it is counted by its hash.
+   there each 200-byte string around it is counted by a 128-bit hash.
 4. Each document's covered spans are merged and cut out.
 
 Texts move twice, compressed; anchors move as hashes and positions.
@@ -30,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,9 @@ SIDE = LENGTH - GRAM
 MOST = 60_000
 #: Bytes of surroundings that are sorted at once.
 ARRAY_BYTES = 1 << 20
-BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: Anchors of more than one in so many places are looked up apart.
+HOT = 256
+BASE = 0x9E3779B97F4A7C15
 KEY = ["doc_id", "th"]
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -56,11 +60,10 @@ def powers(base: int, bits: int) -> np.ndarray:
 
 
 class Sums:
-    """Hashes of any substrings of one text, from prefix sums modulo 2**64."""
+    """Hashes of any substrings of one text, from prefix sums modulo 2**64. They choose anchors, whose bytes are compared later."""
 
-    def __init__(self, raw: np.ndarray, which: int):
+    def __init__(self, raw: np.ndarray, base: int = BASE):
         bits = max(16, int(len(raw)).bit_length())
-        base = BASES[which]
         self.back = powers(pow(base, -1, 1 << 64), bits)
         table = mix((np.arange(256).astype(np.uint64) + np.uint64(1)) * np.uint64(base))
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
@@ -84,13 +87,13 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(raw) < LENGTH:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
     at = np.arange(len(raw) - GRAM + 1)
-    each = Sums(raw, 0)(at, at + GRAM)
+    each = Sums(raw)(at, at + GRAM)
     least = sliding(each, SIDE + 1, np.minimum)
     pad = np.zeros(SIDE, np.uint64)
     pos = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), SIDE + 1, np.maximum) == each)
-    left, right = np.minimum(pos, SIDE), np.minimum(len(raw) - pos, LENGTH)
-    around = mix(Sums(raw, 1)(pos - left, pos + right) + (left * 1024 + right).astype(np.uint64))
-    return each[pos].view(np.int64), around.view(np.int64), pos.astype(np.int32)
+    whole = raw.tobytes()
+    around = [xxhash.xxh3_64_intdigest(whole[max(0, p - SIDE) : p + LENGTH], min(p, SIDE)) for p in pos.tolist()]
+    return each[pos].view(np.int64), np.array(around, np.uint64).view(np.int64), pos.astype(np.int32)
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,36 +132,56 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, prefix
 
 
-def maximal_repeats(text: np.ndarray, least: int, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, starts) of every maximal repeat of ``least`` or more; ``owner`` gives what each position stands for.
+def intervals(prefix: np.ndarray, differs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first row, row after the last) of the intervals of a suffix array that stand for maximal repeats of ``least`` or more.
 
-    A stack holds the open intervals of the suffix array, by common prefix. When
-    one closes, its suffixes are all occurrences of its prefix; it is maximal to
-    the right by construction, and to the left if the values before its
-    occurrences differ. Occurrences that stand for one place only are no repeat.
+    ``prefix`` has the common prefix of each row with the one before. A stack holds
+    the open intervals; when one closes, its rows are all occurrences of its
+    prefix; it is maximal to the right by construction, and to the left if the
+    values before its occurrences differ: ``differs`` counts, from the first row,
+    the neighbours with different values before them, so one step tells whether
+    an interval has any. Runs of rows that have none at all are passed over, and
+    runs of one common prefix are one interval; the stack goes through the others.
     """
-    order, prefix = suffix_array(text)
-    before = np.where(order > 0, text[order - 1], -1)
-    # Neighbours with equal values before them: a running count tells in one step whether an interval differs anywhere.
-    differs = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
     inside = np.flatnonzero(prefix >= least)
+    empty = np.zeros(0, np.int64)
     if not len(inside):
-        return
+        return empty, empty, empty
     cuts = np.flatnonzero(np.diff(inside) > 1) + 1
-    for run in np.split(inside, cuts):
+    start, stop = inside[np.concatenate([[0], cuts])], inside[np.concatenate([cuts - 1, [-1]])] + 1
+    diverse = differs[stop - 1] != differs[start - 1]
+    start, stop = start[diverse], stop[diverse]
+    if not len(start):
+        return empty, empty, empty
+    # reduceat takes what lies between two starts into the first one's part, so ends stand among the starts.
+    edges = np.stack([start, stop], axis=1).ravel()
+    padded = np.concatenate([prefix, [0]])
+    low, high = np.minimum.reduceat(padded, edges)[::2], np.maximum.reduceat(padded, edges)[::2]
+    even = low == high
+    out = [(low[even].astype(np.int64), start[even] - 1, stop[even])]
+    for a, b in zip(start[~even].tolist(), stop[~even].tolist(), strict=True):
         stack: list[tuple[int, int]] = []  # (prefix, first row)
-        first, last = int(run[0]) - 1, int(run[-1])
-        for i, p in zip(range(first + 1, last + 2), [*prefix[run].tolist(), 0], strict=True):
-            start = i - 1
+        made = []
+        for i, p in zip(range(a, b + 1), [*prefix[a:b].tolist(), 0], strict=True):
+            first = i - 1
             while stack and stack[-1][0] > p:
-                length, start = stack.pop()
-                if differs[i - 1] != differs[start]:
-                    where = order[start:i]
-                    places = owner[where]
-                    if (places != places[0]).any():
-                        yield length, where
+                length, first = stack.pop()
+                if differs[i - 1] != differs[first]:
+                    made.append((length, first, i))
             if p >= least and (not stack or stack[-1][0] < p):
-                stack.append((p, start))
+                stack.append((p, first))
+        if made:
+            out.append(tuple(np.array(x, np.int64) for x in zip(*made, strict=True)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def maximal_repeats(text: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, starts) of every maximal repeat of ``least`` or more in one sequence."""
+    order, prefix = suffix_array(text)
+    before = np.where(order > 0, text[order - 1], -1)
+    differs = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    for length, first, end in zip(*intervals(prefix, differs, least), strict=True):
+        yield int(length), order[first:end]
 
 
 class Aligned:
@@ -213,39 +236,50 @@ class Aligned:
             prefix[at + 1] = least + 1
         self.order, self.prefix = self.order[place], prefix
 
-    def covered(self, least: int) -> np.ndarray:
-        """Which cells lie in a repeat of ``least`` bytes or more.
+    def repeats(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(column, lengths, first rows, ends) of the maximal repeats of ``least`` bytes or more by the column that they start in.
 
-        In each column the suffixes whose common prefixes reach ``least`` form
-        the upper intervals of the array's tree. One whose suffixes all have the
-        same byte in front isn't maximal: it is met again, longer, a column to the
-        left. In the others every suffix is an occurrence of the repeat that its
-        innermost interval stands for, as long as the larger of its two common prefixes.
+        All occurrences of one are the rows of ``order`` from its first to its end,
+        while that column's array stands. One whose occurrences all have the same
+        byte in front isn't maximal: it is met again, longer, a column to the left.
+        A text's start differs from all else.
         """
-        edge = np.zeros((self.rows, self.cells.shape[1] + 1), np.int16)
         for column in range(SIDE, -1, -1):
             if column < SIDE:
                 self.step(column)
-            long = self.prefix >= least
-            if not long.any():
+            prefix = self.prefix[: self.rows]
+            if not (prefix >= least).any():
                 continue
-            inside = long[:-1] | long[1:]
-            number = np.cumsum(~long[:-1]) - 1  # the interval of each row
             front = self.cells[self.order, column - 1] if column else np.zeros(self.rows, np.uint16)
-            breaks = long[1:-1] & ((front[1:] != front[:-1]) | (front[1:] == 0))
-            diverse = np.bincount(number[1:], weights=breaks, minlength=number[-1] + 1) > 0
-            at = np.flatnonzero(inside & diverse[number])
-            rows = self.order[at]
+            differs = np.concatenate([[0], np.cumsum((front[1:] != front[:-1]) | (front[1:] == 0))])
+            yield column, *intervals(prefix, differs, least)
+
+    def covered(self, least: int) -> np.ndarray:
+        """Which cells lie in an occurrence of a maximal repeat of ``least`` bytes or more."""
+        edge = np.zeros((self.rows, self.cells.shape[1] + 1), np.int16)
+        for column, length, first, end in self.repeats(least):
+            if not len(length):
+                continue
+            by = np.argsort(length, kind="stable")  # of repeats that start together the longest is written last
+            length, first, n = length[by], first[by], (end - first)[by]
+            at = self.order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            reach = np.zeros(self.rows, np.int64)
+            reach[at] = np.repeat(length, n)
+            rows = np.flatnonzero(reach)
             edge[rows, column] += 1
-            edge[rows, column + np.maximum(self.prefix[at], self.prefix[at + 1])] -= 1
+            edge[rows, column + reach[rows]] -= 1
         return np.cumsum(edge, axis=1, dtype=np.int16)[:, :-1] > 0
 
 
-def covered(rows: list[tuple[int, int, int, bytes]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Spans relative to the anchor, by (anchor, surroundings), of rows (anchor, surroundings, bytes before the anchor, bytes)."""
+def aligned(rows: list[tuple[int, int, int, bytes]]) -> Aligned:
+    """Rows (anchor, surroundings, bytes before the anchor, bytes) one above the other."""
     names = {a: i for i, a in enumerate(dict.fromkeys(r[0] for r in rows))}
-    group, left = np.array([names[r[0]] for r in rows]), np.array([r[2] for r in rows])
-    inside = Aligned(group, left, [r[3] for r in rows]).covered(LENGTH)
+    return Aligned(np.array([names[r[0]] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows])
+
+
+def covered(rows: list[tuple[int, int, int, bytes]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Spans relative to the anchor, by (anchor, surroundings)."""
+    inside = aligned(rows).covered(LENGTH)
     turns = np.diff(np.pad(inside.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     starts, ends = np.nonzero(turns == 1), np.nonzero(turns == -1)
     out: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -254,27 +288,48 @@ def covered(rows: list[tuple[int, int, int, bytes]]) -> dict[tuple[int, int], li
     return out
 
 
+def grouped(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """(anchor, surroundings, group, start relative to the anchor, length) of every occurrence of every maximal repeat; a group is named by a hash of its string.
+
+    A repeat in which the anchor is not the least of any 200 bytes is left to the
+    anchors that are: other copies of it need not have this one.
+    """
+    made = aligned(rows)
+    found = ((column, int(n), made.order[a:b]) for column, *x in made.repeats(LENGTH) for n, a, b in zip(*x, strict=True))
+    for column, length, at in found:
+        _, _, left, raw = rows[int(at[0])]
+        string = raw[column - SIDE + left : column - SIDE + left + length]
+        grams = Sums(np.frombuffer(string, np.uint8))(start := np.arange(length - GRAM + 1), start + GRAM)
+        less = np.concatenate([[-1], np.flatnonzero(grams < grams[SIDE - column]), [len(grams)]])
+        k = int(np.searchsorted(less, SIDE - column))
+        if less[k] - less[k - 1] <= SIDE + 1:
+            continue
+        name = xxhash.xxh3_128_digest(string)
+        for i in at.tolist():
+            yield rows[i][0], rows[i][1], name, column - SIDE, length
+
+
 SPANS = "array<struct<lo:int,hi:int>>"
 
 
-def by_array(pieces: DataFrame) -> DataFrame:
-    """(ah, ch, spans) of pieces sorted by anchor: whole anchors, ARRAY_BYTES of them at a time."""
+def by_array(pieces: DataFrame, groups: bool = False) -> DataFrame:
+    """(ah, ch, spans) of pieces sorted by anchor, whole anchors, ARRAY_BYTES of them at a time; with ``groups`` (ah, ch, name, lo, length) of all occurrences."""
+    kinds = arrow_schema(f"ah long, ch long, {'name binary, lo int, length int' if groups else f'spans {SPANS}'}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
-            got = covered(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in got], pa.int64()), pa.array([k[1] for k in got], pa.int64()),
-                 pa.array([[{"lo": a, "hi": b} for a, b in v] for v in got.values()], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
-                names=["ah", "ch", "spans"],
-            )
+            if groups:
+                made = list(grouped(held))
+            else:
+                made = [(*k, [{"lo": a, "hi": b} for a, b in v]) for k, v in covered(held).items()]
+            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
         for batch in batches:
             for part in slices(batch, 3):
                 for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if held and row[:2] == held[-1][:2]:
+                    if held and row[:2] == held[-1][:2] and not groups:
                         continue  # the same piece, from rows that repeat
                     if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                         yield flush()
@@ -286,7 +341,8 @@ def by_array(pieces: DataFrame) -> DataFrame:
 
     n = partitions(pieces)
     dealt = pieces.repartition(n, "ah").sortWithinPartitions("ah", "ch")
-    return dealt.select("ah", "ch", "offset", "raw").mapInArrow(run, f"ah long, ch long, spans {SPANS}")
+    out = "ah long, ch long, " + ("name binary, lo int, length int" if groups else f"spans {SPANS}")
+    return dealt.select("ah", "ch", "offset", "raw").mapInArrow(run, out)
 
 
 def by_string(pieces: DataFrame) -> DataFrame:
@@ -295,9 +351,9 @@ def by_string(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ah, ch, offset, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(raw, dtype=np.uint8)
-                start = np.arange(len(x) - LENGTH + 1)
-                one, two = (Sums(x, i)(start, start + LENGTH).view(np.int64) for i in (0, 1))
+                start = np.arange(len(raw) - LENGTH + 1)
+                each = b"".join(xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(len(start)))
+                one, two = np.frombuffer(each, dtype=np.int64).reshape(-1, 2).T
                 rows = len(start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(rows, ah)), pa.array(np.full(rows, ch)), pa.array((start - offset).astype(np.int32)), pa.array(one), pa.array(two)],
@@ -322,12 +378,12 @@ def packed(slim: DataFrame) -> DataFrame:
 
 
 def surroundings(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(ah, ch, kinds, offset, raw) of the representatives (doc_id, th, pos, ah, ch, kinds). Rows that repeat give the same piece again."""
-    lists = reps.groupBy(*KEY).agg(F.collect_list(F.struct("ah", "ch", "pos", "kinds")).alias("wanted"))
+    """(ah, ch, n, offset, raw) of the representatives (doc_id, th, pos, ah, ch, n). Rows that repeat give the same piece again."""
+    lists = reps.groupBy(*KEY).agg(F.collect_list(F.struct("ah", "ch", "pos", "n")).alias("wanted"))
     joined = texts.join(lists, [texts[k].eqNullSafe(lists[k]) for k in KEY]).select("z", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ah", "ch", "kinds", "offset", "raw"]
+        names = ["ah", "ch", "n", "offset", "raw"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             for part in slices(batch, 0, 1 << 19):
@@ -336,14 +392,18 @@ def surroundings(reps: DataFrame, texts: DataFrame) -> DataFrame:
                     raw = zstandard.ZstdDecompressor().decompress(z)
                     for w in wanted:
                         left = min(w["pos"], SIDE)
-                        rows.append((w["ah"], w["ch"], w["kinds"], left, raw[w["pos"] - left : w["pos"] + LENGTH]))
+                        rows.append((w["ah"], w["ch"], w["n"], left, raw[w["pos"] - left : w["pos"] + LENGTH]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=names)
 
-    return joined.mapInArrow(run, "ah long, ch long, kinds long, offset int, raw binary")
+    return joined.mapInArrow(run, "ah long, ch long, n long, offset int, raw binary")
 
 
-def repeated(slim: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, th, lo, hi): covered spans in bytes, one or more for each anchor that occurs again; they may pass the text's end."""
+def places(slim: DataFrame) -> DataFrame:
+    """(doc_id, th, pos, ah, ch, several) of the anchors that occur again; ``several`` if their surroundings differ.
+
+    Anchors of more than one in HOT places, of which there are fewer than HOT, are
+    looked up in a broadcast table; the others meet in a shuffle.
+    """
 
     def run(names):
         got = [anchors(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)) for t in names]
@@ -351,15 +411,30 @@ def repeated(slim: DataFrame, texts: DataFrame) -> DataFrame:
 
     each = written(per_text(slim, "text", KEY, "ah array<long>, ch array<long>, pos array<int>", run))
     rows = each.select(*KEY, F.explode(F.arrays_zip("ah", "ch", "pos")).alias("a")).select(*KEY, "a.ah", "a.ch", "a.pos")
-    twice = rows.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").select("ah", (F.col("lo") != F.col("hi")).alias("several"))
-    again = written(rows.join(twice, "ah"))
+    twice = rows.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1")
+    twice = written(twice.select("ah", (F.col("lo") != F.col("hi")).alias("several"), "n"))
+    most = (each.agg(F.sum(F.size("ah"))).first()[0] or 0) // HOT
+    few, rest = (F.broadcast(twice.where(F.col("n") > most)).drop("n"), twice.where(F.col("n") <= most).drop("n"))
+    cold = rows.join(few.drop("several"), "ah", "left_anti").join(rest, "ah")
+    return written(rows.join(few, "ah").unionByName(cold))
+
+
+def kinds_of(several: DataFrame) -> DataFrame:
+    """(ah, ch, n, doc_id, th, pos) of the different surroundings of anchors: how many places have them, and one that stands for all."""
+    kinds = several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("rep"))
+    return written(kinds.select("ah", "ch", "n", "rep.*"))
+
+
+def repeated(slim: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, th, lo, hi): covered spans in bytes, one or more for each anchor that occurs again; they may pass the text's end."""
+    again = places(slim)
     several = again.where("several")
-    kinds = written(several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("rep")))
-    counts = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"))
-    reps = kinds.join(counts, "ah").select("rep.*", "ah", "ch", "kinds")
-    found = by_array(surroundings(reps.where(F.col("kinds") <= MOST), texts))
-    if not counts.where(F.col("kinds") > MOST).isEmpty():
-        found = found.union(by_string(surroundings(reps.where(F.col("kinds") > MOST), texts)))
+    kinds = kinds_of(several)
+    over = written(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST).select("ah"))
+    if over.isEmpty():
+        found = by_array(surroundings(kinds, texts))
+    else:
+        found = by_array(surroundings(kinds.join(over, "ah", "left_anti"), texts)).union(by_string(surroundings(kinds.join(over, "ah", "left_semi"), texts)))
     whole = F.array(F.struct(F.lit(-SIDE).alias("lo"), F.lit(LENGTH).alias("hi"))).cast(SPANS)
     alone = found.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"], "left_anti")
     spans = written(alone.union(kinds.where("n > 1").select("ah", "ch", whole.alias("spans"))))
@@ -368,6 +443,25 @@ def repeated(slim: DataFrame, texts: DataFrame) -> DataFrame:
     return full.union(part)
 
 
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """(name, length, doc_id, th, start) of every maximal repeat of 200 bytes or more around an anchor, with all its occurrences.
+
+    A repeat's string is looked at as far as 176 bytes before its anchor and 200
+    bytes from it; longer ones come in such parts, one for each anchor in them.
+    Rows of one name are the occurrences of one string: name is a hash of it, th
+    one of the text, start the byte that it starts at; rows of one id and one text
+    are told as one. Nulls, empty tables and columns are as in remove_repeats.
+    Anchors of more than MOST surroundings, too, go to one array each here.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    again = places(slim).select(*KEY, "pos", "ah", "ch")
+    # Surroundings that several places have stand in the array twice, so that they repeat there as well.
+    pieces = written(surroundings(kinds_of(again), packed(slim)))
+    every = by_array(pieces.union(pieces.where("n > 1")), groups=True).distinct()
+    made = again.join(every, ["ah", "ch"])
+    return made.select(F.hex("name").alias("name"), "length", *KEY, (F.col("pos") + F.col("lo")).cast("long").alias("start")).distinct()
+
+
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((max(0, a), min(size, b)) for a, b in spans):
@@ -382,8 +476,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with ``keep_text`` also the remaining bytes, as ``kept``.
 
     Null texts count as empty. Repeated rows are texts of their own, so each
-    removes the other. Texts under 200 bytes keep all. Ids may be null or shared.
-    An empty table gives no rows; extra columns are ignored.
+    removes the other. Texts under 200 bytes keep all. Very long texts are read
+    whole, one at a time. Ids may be null or shared. Ties don't arise: every byte in
+    a repeat goes. An empty table gives no rows; extra columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = packed(slim)

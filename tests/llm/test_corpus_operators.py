@@ -344,5 +344,23 @@ def test_maximal_repeats_equal_brute_force():
                 before, after = ({text[i + d] if 0 <= i + d < len(text) else -i - 9 for i in at} for d in (-1, n))
                 if len(at) > 1 and len(before) > 1 and len(after) > 1:
                     want.add((n, tuple(at)))
-        got = {(n, tuple(sorted(at.tolist()))) for n, at in repeats.maximal_repeats(np.array(text), 3, np.arange(24))}
+        got = {(n, tuple(sorted(at.tolist()))) for n, at in repeats.maximal_repeats(np.array(text), 3)}
         assert got == want
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    """Each group is one string, at every place where it stands around that anchor; together the groups cover what is removed."""
+    texts = repeated_texts()
+    rows = repeats.repeat_groups(docs(spark, list(enumerate(texts)))).collect()
+    raw = [(t or "").encode() for t in texts]
+    groups, covered = {}, [bytearray(len(b)) for b in raw]
+    for r in rows:
+        groups.setdefault(r["name"], []).append((r["doc_id"], r["start"], r["length"]))
+        covered[r["doc_id"]][r["start"] : r["start"] + r["length"]] = b"\1" * r["length"]
+    for found in groups.values():
+        strings = {raw[d][a : a + n] for d, a, n in found}
+        assert len(strings) == 1 and len(found) == len(set(found)) > 1 and len(next(iter(strings))) >= repeats.LENGTH
+        s = next(iter(strings))
+        assert {(d, a) for d, a, _ in found} == {(d, m.start()) for d, b in enumerate(raw) for m in re.finditer(b"(?=" + re.escape(s) + b")", b)}
+    assert [sum(c) for c in covered] == [x[1] for x in cut(texts)]
+    assert repeats.repeat_groups(docs(spark, [])).count() == 0
