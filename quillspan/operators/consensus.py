@@ -1,9 +1,10 @@
 """Pairwise agreement of methods, page by page, and what is summed up from it.
 
-Pages of one (document, page) meet in one place: signatures are built per page in
-the same row, so the only shuffle on the way to pair scores is the self join on
-(document, page), a key that no page shares with another. Multisets are sorted
-token arrays turned into counts inside the row; nothing is exploded across pages.
+Multisets are arrays of items in which repetitions carry their number, built per
+page in its row; two of them share as much as their arrays, which a hash set
+tells in one pass. The methods of one (document, page) meet in one row by one
+shuffle of each page, and pairs are scored inside that row: nothing is copied for
+each pair, nothing is exploded across pages.
 """
 
 from __future__ import annotations
@@ -14,35 +15,34 @@ from pyspark.sql import functions as F
 from ..functions.text import dice, numbers, tokens
 
 UNIT = ["document", "page"]
-COUNTS = "array<struct<k:string,n:int>>"
 
 
-def counts(items: Column) -> Column:
-    """The multiset of an array of strings as a map from item to count, in one pass over the sorted items.
+def numbered(items: Column) -> Column:
+    """The multiset of an array of strings as a set: sorted, each repetition with its number behind it.
 
-    Sorted items form runs; a run's length is the distance between the places
-    where the item changes.
+    Sorted items form runs; an item's number is its distance from where its run
+    starts. The separator is in no token.
     """
 
     def body(xs: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) != F.get(xs, i - 1)))
         ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(xs)))
-        runs = F.transform(F.array(starts), lambda s: F.map_from_arrays(F.transform(s, lambda i: F.get(xs, i)), F.zip_with(s, ends(s), lambda a, b: b - a)))
-        return F.get(runs, F.lit(0))
+        nth = lambda s: F.flatten(F.zip_with(s, ends(s), lambda a, b: F.sequence(F.lit(0), b - a - 1)))
+        tagged = lambda n: F.zip_with(xs, n, lambda x, k: F.when(k == 0, x).otherwise(F.concat(x, F.lit("\x1e"), k.cast("string"))))
+        return F.get(F.transform(F.transform(F.array(starts), nth), tagged), F.lit(0))
 
     full = F.filter(F.array(F.array_sort(items)), lambda xs: F.size(xs) > 0)
-    return F.coalesce(F.get(F.transform(full, body), F.lit(0)), F.create_map().cast("map<string,int>"))
+    return F.coalesce(F.get(F.transform(full, body), F.lit(0)), F.array().cast("array<string>"))
 
 
 def shared(a: Column, b: Column) -> Column:
     """Size of the intersection of two multisets."""
-    return F.aggregate(F.map_entries(a), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
+    return F.size(F.array_intersect(a, b))
 
 
 def beyond(a: Column, b: Column) -> Column:
-    """The multiset a without b, as sorted (item, count)."""
-    rest = F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("item"), (e["value"] - F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))).alias("n")))
-    return F.array_sort(F.filter(rest, lambda e: e["n"] > 0))
+    """The multiset a without b, as an array of items."""
+    return F.transform(F.array_except(a, b), lambda x: F.substring_index(x, "\x1e", 1))
 
 
 def bigrams(words: Column) -> Column:
@@ -54,7 +54,7 @@ def signatures(pages: DataFrame) -> DataFrame:
     """``pages`` with words, and the multisets of words, of ordered pairs of words, and of numbers."""
     worded = pages.withColumn("words", tokens(F.col("text")))
     return worded.withColumns({
-        "unigrams": counts(F.col("words")), "bigrams": counts(bigrams(F.col("words"))), "numbers": counts(numbers(F.col("text"))),
+        "unigrams": numbered(F.col("words")), "bigrams": numbered(bigrams(F.col("words"))), "numbers": numbered(numbers(F.col("text"))),
         "n_words": F.size("words"), "n_bigrams": F.greatest(F.size("words") - 1, F.lit(0)),
     })
 
@@ -68,17 +68,19 @@ def pairs(units: DataFrame, keys: list[str] = UNIT) -> DataFrame:
 
 def pair_scores(pages: DataFrame) -> DataFrame:
     """One row for each pair of methods of a page, with every set-based measure."""
-    both = pairs(signatures(pages))
-    size = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x)
-    made = both.select(
-        *UNIT, F.col("l.method").alias("left"), F.col("r.method").alias("right"),
-        F.col("l.n_words").alias("left_tokens"), F.col("r.n_words").alias("right_tokens"),
-        shared(F.col("l.unigrams"), F.col("r.unigrams")).alias("shared_tokens"),
-        (F.col("l.n_bigrams") + F.col("r.n_bigrams")).alias("total_bigrams"),
-        shared(F.col("l.bigrams"), F.col("r.bigrams")).alias("shared_bigrams"),
-        (size(F.col("l.numbers")) + size(F.col("r.numbers"))).alias("total_numbers"),
-        shared(F.col("l.numbers"), F.col("r.numbers")).alias("shared_numbers"),
-    )
+    columns = ("method", "n_words", "n_bigrams", "unigrams", "bigrams", "numbers")
+    rows = signatures(pages).groupBy(*UNIT).agg(F.collect_list(F.struct(*columns)).alias("m"))
+
+    def scored(x: Column, y: Column) -> Column:
+        return F.struct(
+            x["method"].alias("left"), y["method"].alias("right"), x["n_words"].alias("left_tokens"), y["n_words"].alias("right_tokens"),
+            shared(x["unigrams"], y["unigrams"]).alias("shared_tokens"), (x["n_bigrams"] + y["n_bigrams"]).alias("total_bigrams"),
+            shared(x["bigrams"], y["bigrams"]).alias("shared_bigrams"), (F.size(x["numbers"]) + F.size(y["numbers"])).alias("total_numbers"),
+            shared(x["numbers"], y["numbers"]).alias("shared_numbers"),
+        )
+
+    met = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: x["method"] < y["method"]), lambda y: scored(x, y))))
+    made = rows.select(*UNIT, F.inline(met))
     overlap = dice(F.col("shared_tokens"), F.col("left_tokens"), F.col("right_tokens"))
     pairs_of_words = dice(F.col("shared_bigrams"), F.col("total_bigrams"), F.lit(0), empty=overlap)
     numeric = dice(F.col("shared_numbers"), F.col("total_numbers"), F.lit(0), empty=F.lit(None).cast("double"))

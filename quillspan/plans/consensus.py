@@ -131,7 +131,7 @@ def j02(spark, sf_dir):
 )
 def a01(spark, sf_dir):
     made = C.signatures(fixtures.pages(spark, sf_dir))
-    return made.select("document", "page", "method", "n_words", "n_bigrams", F.size("unigrams").alias("distinct_words"), F.size("bigrams").alias("distinct_bigrams"))
+    return made.select("document", "page", "method", "n_words", "n_bigrams", F.size(F.array_distinct("words")).alias("distinct_words"), F.size(F.array_distinct(C.bigrams(F.col("words")))).alias("distinct_bigrams"))
 
 
 @query("a02_agreement", f"""WITH {sql.PAIRS} SELECT document, page, "left", "right", round(token_overlap, 9) AS token_dice, round(bigram_overlap, 9) AS bigram_dice, round(similarity, 9) AS similarity FROM scores""")
@@ -230,7 +230,7 @@ def u02(spark, sf_dir):
     made = C.signatures(fixtures.pages(spark, sf_dir).where("method in ('alpha', 'beta')"))
     both = C.pairs(made.select("document", "page", "method", "unigrams"))
     lost = C.beyond(F.col("l.unigrams"), F.col("r.unigrams"))
-    return both.select("document", "page", F.inline(lost)).select("document", "page", F.col("item").alias("token"), F.col("n").cast("long").alias("missed"))
+    return both.select("document", "page", F.explode(lost).alias("token")).groupBy("document", "page", "token").agg(F.count(F.lit(1)).alias("missed"))
 
 
 @query(

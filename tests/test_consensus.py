@@ -30,7 +30,7 @@ def test_accounting_parentheses_are_literal(spark):
 def test_repeated_numbers(spark):
     made = consensus.pairs(consensus.signatures(pages(spark, {"a": "100 100 200", "b": "100 200"})))
     row = made.select(consensus.shared(F.col("l.numbers"), F.col("r.numbers")).alias("s"), consensus.beyond(F.col("l.numbers"), F.col("r.numbers")).alias("d")).first()
-    assert 2 * row["s"] / 5 == 0.8 and [tuple(x) for x in row["d"]] == [("100", 1)]
+    assert 2 * row["s"] / 5 == 0.8 and row["d"] == ["100"]
 
 
 def test_one_equal_token_is_full_agreement(spark):
