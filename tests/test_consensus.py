@@ -48,9 +48,10 @@ def test_tolerance_chains(spark):
     assert got == {"a": 1, "b": 1, "c": 1, "d": 4, "e": 5}
 
 
-def test_hyphens_need_corroboration():
-    assert alignment.repaired(["inter-\nnational", "international"])[0] == "international"
-    assert alignment.repaired(["well-\nknown", "other"])[0] == "well- known"
+def test_hyphens_need_corroboration(spark):
+    for texts, want in ((["inter-\nnational", "international"], "international"), (["well-\nknown", "other"], "well- known")):
+        got = alignment.repair_hyphens(pages(spark, dict(zip("ab", texts, strict=True)))).where("method = 'a'").first()
+        assert got["text"] == want
 
 
 def test_literal_markup_in_plain_text():
