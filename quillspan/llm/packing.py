@@ -123,7 +123,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: C
 
 def best_fit_pack(
     docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", capacities: Sequence[int] = CAPACITIES,
-    cost: Callable[[int], float] = unit_cost, shard_pieces: int = SHARD_PIECES,
+    cost: Callable[[int], float] = unit_cost, shard_pieces: int = SHARD_PIECES, content: bool = False,
 ) -> DataFrame:
     """One row per piece: its document and span there, its shard, bin, the bin's final capacity, and its offset in the bin.
 
@@ -131,13 +131,24 @@ def best_fit_pack(
     model. A document longer than the largest capacity is split into full pieces
     and a rest; nothing is dropped. Null or empty texts give one piece of length
     0, null ids stay null, repeated rows are packed as often as they occur, and an
-    empty table gives no rows. Extra columns are ignored.
+    empty table gives no rows. Extra columns are ignored. Ties in length go by id,
+    then by place.
+
+    With ``content`` (and the default length) each piece's bytes come along: they
+    are cut where the text is and move with the piece, so a shard has its pieces'
+    bytes, SHARD_PIECES times the largest capacity at most on average.
     """
+    if content and length is not None:
+        raise ValueError("content goes with the length in bytes")
     length = F.octet_length("text") if length is None else length
     top, sizes = max(capacities), tuple(sorted(capacities))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
-    pieces = slim.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("n", F.lit(1)) - 1) / top))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("long").alias("length"))
+    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8") if content else F.lit(None).cast("binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n"), raw.alias("raw"))
+    number = F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("n", F.lit(1)) - 1) / top))
+    cut = lambda i: F.struct(i.alias("piece"), F.substring("raw", (i * top + 1).cast("int"), F.lit(top)).alias("content"))
+    pieces = slim.select("doc_id", "n", F.inline(F.transform(number, cut)))
+    pieces = pieces.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("long").alias("length"), *["content"] * content)
+    out = OUT + ", content binary" * content
     total = slim.agg(F.sum(F.floor((F.greatest("n", F.lit(1)) - 1) / top) + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_pieces))
     # The hash takes the length too, so that rows that share an id (a null one, say) still spread.
@@ -146,6 +157,6 @@ def best_fit_pack(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         got = pack(pdf["length"].tolist(), sizes, cost)
-        return pdf.assign(bin=[x[0] for x in got], capacity=[x[1] for x in got], offset=[x[2] for x in got])[[x.split()[0] for x in OUT.split(", ")]]
+        return pdf.assign(bin=[x[0] for x in got], capacity=[x[1] for x in got], offset=[x[2] for x in got])[[x.split()[0] for x in out.split(", ")]]
 
-    return dealt.groupBy("shard").applyInPandas(run, OUT)
+    return dealt.groupBy("shard").applyInPandas(run, out)

@@ -35,6 +35,25 @@ def test_packing_is_whole_and_fits(spark):
         used = parts[-1][0] + parts[-1][1]
         assert used <= capacity and capacity == min(c for c in packing.CAPACITIES if c >= used)
     assert packing.best_fit_pack(docs(spark, [])).count() == 0
+    whole = {}
+    for r in packing.best_fit_pack(docs(spark, [(i, t) for i, t in enumerate(t for _, t in ODD)]), content=True).orderBy("start").collect():
+        assert len(r["content"]) == r["length"]
+        whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["content"])
+    assert whole == {i: (t or "").encode() for i, (_, t) in enumerate(ODD)}
+
+
+def test_mixed_plan_opens_the_cheapest_bin_for_its_contents():
+    placed = packing.mixed_fit([10, 6, 4, 3, 1], [4, 10, 16], float)
+    assert placed == [(0, 0), (0, 10), (1, 0), (2, 0), (2, 3)]  # 16 full, 4 full, 4 full
+    assert packing.mixed_fit([], [4], float) == [] and packing.mixed_fit([0, 0], [4], float) == [(0, 0), (0, 0)]
+    rng = random.Random(9)
+    for _ in range(50):
+        items = sorted((rng.randint(0, 12) for _ in range(30)), reverse=True)
+        bins = {}
+        for n, (b, at) in zip(items, packing.mixed_fit(items, (4, 7, 12), float), strict=True):
+            assert bins.get(b, 0) == at
+            bins[b] = at + n
+        assert max(bins.values()) <= 12
 
 
 def test_best_fit_takes_the_tightest_open_bin():
