@@ -2,6 +2,11 @@
 
 Every stage's rows are written as Parquet to the shared folder and read again as
 the next one's, so a lost executor costs a part of one stage.
+
+No stage fails on odd rows. Null, empty and letterless texts go in the first one,
+as do those of an empty table's model; repeated rows count as copies; very long
+texts are read whole; extra columns, whatever their names, come through to the
+last stage, which returns placements. Ties keep the least id, then the least hash.
 """
 
 from __future__ import annotations
@@ -44,8 +49,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: which span of which document stands where in which bin."""
-    return packing.best_fit_pack(docs)
+    """The training sequences: which span of which document, with its bytes, stands where in which bin."""
+    return packing.best_fit_pack(docs, content=True)
 
 
 STAGES = [
@@ -61,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document kept: (doc_id, piece, start, length, shard, bin, capacity, offset, content), a bin's pieces being one sequence."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
