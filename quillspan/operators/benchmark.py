@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import canonical_value, edit_distance, iou
-from .panel import small
+from .panel import each_method
 
 KEY = ["document", "record", "field"]
 COUNTERS = (
@@ -61,8 +61,7 @@ def first_candidates(judged: DataFrame) -> DataFrame:
 
 def matches(refs: DataFrame, preds: DataFrame, profile: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row for each method and present field: what was found and how good it is."""
-    methods = small(preds.select("method").distinct())
-    present = refs.where("status = 'present'").join(small(profile), "field").join(methods)
+    present = each_method(refs.where("status = 'present'").join(profile, "field"), preds)
     found = present.join(first_candidates(marked(refs, preds)), ["method", *KEY], "left")
     guess = F.col("first.value")
     detected, single = F.coalesce(F.trim(guess) != "", F.lit(False)), F.col("candidates") == 1
@@ -85,9 +84,9 @@ def extras(refs: DataFrame, preds: DataFrame, profile: DataFrame, matched: DataF
     """Predictions that answer nothing: (method, document, idx, record, field, value, reason)."""
     used = matched.where("used_idx is not null").select("method", "document", F.col("used_idx").alias("idx"))
     rest = marked(refs, preds).where("ref_status is null or ref_status <> 'unreadable'").join(used, ["method", "document", "idx"], "left_anti")
-    typed = rest.join(small(profile), "field", "left").withColumn("canon", canonical("value"))
+    typed = rest.join(profile, "field", "left").withColumn("canon", canonical("value"))
     # Elsewhere: the same value of the same field under another record of the document. Counting its records tells the prediction's own from others.
-    known = refs.where("status = 'present'").join(small(profile), "field").withColumn("canon", canonical("value")["value"])
+    known = refs.where("status = 'present'").join(profile, "field").withColumn("canon", canonical("value")["value"])
     places = known.groupBy("document", "field", "canon").agg(F.count_distinct("record").alias("places"))
     own = known.select("document", "field", "record", "canon", F.lit(1).alias("own")).distinct()
     value = F.when(F.col("canon.error").isNull(), F.col("canon.value"))
@@ -114,7 +113,6 @@ def credited(matched: DataFrame) -> DataFrame:
 
 def counters(refs: DataFrame, preds: DataFrame, profile: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(method, document, field, counters): one row for each field that is annotated or predicted. Records and documents count under a null field."""
-    methods = small(preds.select("method").distinct())
     # Several counters are taken from the matches; a lost part is matched again from its inputs.
     base = matches(refs, preds, profile, threshold).drop("mine", "theirs").persist(StorageLevel.MEMORY_AND_DISK)
     done = credited(base)
@@ -131,21 +129,21 @@ def counters(refs: DataFrame, preds: DataFrame, profile: DataFrame, threshold: f
             "method", "document", "field", flag(F.col("ref_status") == "unreadable").alias("ignored_unreadable_predictions"),
             (1 - flag(F.col("ref_status") == "unreadable")).alias("predicted_fields"),
         ),
-        refs.where("status <> 'present'").join(methods).select(
+        each_method(refs.where("status <> 'present'"), preds).select(
             "method", "document", "field", *[flag(F.col("status") == s).alias(f"{s}_fields") for s in ("unreadable", "absent", "not_applicable")]
         ),
         relations(base).select("method", "document", "field", F.lit(1).cast("long").alias("relationships"), flag(F.col("correct")).alias("correct_relationships")),
     ]
     extra = extras(refs, preds, profile, base).persist(StorageLevel.MEMORY_AND_DISK)
     parts.append(extra.select("method", "document", "field", F.lit(1).cast("long").alias("extra_fields"), F.length("value").cast("long").alias("field_edit_distance")))
-    parts += outcomes(refs, profile, methods, done, extra)
+    parts += outcomes(refs, profile, done, extra)
     return summed(parts, ["method", "document", "field"])
 
 
-def outcomes(refs: DataFrame, profile: DataFrame, methods: DataFrame, done: DataFrame, extra: DataFrame) -> list[DataFrame]:
+def outcomes(refs: DataFrame, profile: DataFrame, done: DataFrame, extra: DataFrame) -> list[DataFrame]:
     """Whether whole records and documents are right, where critical fields are readable."""
     named = profile.where("critical").select(F.explode(F.concat(F.array("field"), "requires")).alias("field")).distinct()
-    scope = small(named.withColumn("in_scope", F.lit(True)))
+    scope = named.withColumn("in_scope", F.lit(True))
     by_record = done.where("critical").groupBy("method", "document", "record").agg(F.count(F.lit(1)).alias("n"), F.count_if("complete").alias("ok"))
     unread = refs.where("status = 'unreadable'").join(scope, "field", "left_semi").groupBy("document", "record").agg(F.lit(True).alias("unreadable"))
     bad = extra.join(scope, "field", "left").where("in_scope or unknown_field").groupBy("method", "document", "record").agg(F.lit(True).alias("bad"))
@@ -200,7 +198,7 @@ def violations(preds: DataFrame, profile: DataFrame, rules: DataFrame, refs: Dat
     excluded = refs.where("status in ('unreadable', 'not_applicable')").select(*KEY)
     ruled = profile.join(rules, "field", "left")
     mine = preds.join(excluded, KEY, "left_anti")
-    typed = mine.join(small(ruled), "field").withColumn("canon", canonical("value"))
+    typed = mine.join(ruled, "field").withColumn("canon", canonical("value"))
     number = F.expr("try_cast(get_json_object(canon.value, '$[0]') as decimal(38,9))")
     numeric = F.col("kind").isin("amount", "number") & F.col("canon.error").isNull()
     checks = F.array_compact(F.array(
@@ -214,12 +212,13 @@ def violations(preds: DataFrame, profile: DataFrame, rules: DataFrame, refs: Dat
     by_rule = typed.select("method", "document", "record", "field", F.explode(checks).alias("reason"), "value")
     per = mine.groupBy("method", *KEY).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.trim("value") != "").alias("filled"))
     doubled = per.where("n > 1").select("method", *KEY, F.lit("duplicate_field").alias("reason"), F.lit(None).cast("string").alias("value"))
-    unknown = preds.join(small(profile.select("field")), "field", "left_anti").select("method", *KEY, F.lit("unknown_field").alias("reason"), F.lit(None).cast("string").alias("value"))
-    slots = refs.select("document", "record").distinct().join(small(preds.select("method").distinct())).join(small(ruled))
+    unknown = preds.join(profile.select("field"), "field", "left_anti").select("method", *KEY, F.lit("unknown_field").alias("reason"), F.lit(None).cast("string").alias("value"))
+    slots = each_method(refs.select("document", "record").distinct(), preds)
+    slots = slots.withColumn("r", F.explode(ruled.agg(F.collect_list(F.struct("field", "required"))).scalar())).select("*", "r.*").drop("r")
     state = slots.join(excluded, KEY, "left_anti").join(per, ["method", *KEY], "left")
     empty = ~F.coalesce("filled", F.lit(False))
     absent = state.where(F.coalesce("required", F.lit(False)) & empty).select("method", *KEY, F.lit("required_field_missing").alias("reason"), F.lit(None).cast("string").alias("value"))
-    wants = per.join(small(profile), "field").select("method", "document", "record", "field", "n", F.explode("requires").alias("target"))
+    wants = per.join(profile, "field").select("method", "document", "record", "field", "n", F.explode("requires").alias("target"))
     targets = per.where("filled").select("method", "document", "record", F.col("field").alias("target"))
     lost = wants.join(targets, ["method", "document", "record", "target"], "left_anti")
     lost = lost.join(excluded.withColumnRenamed("field", "target"), ["document", "record", "target"], "left_anti")
@@ -232,8 +231,7 @@ def violations(preds: DataFrame, profile: DataFrame, rules: DataFrame, refs: Dat
 
 def regions(expected: DataFrame, given: DataFrame) -> DataFrame:
     """``expected`` (document, region, text) against ``given`` (method, document, region, text): a missing transcript counts as empty."""
-    methods = small(given.select("method").distinct())
-    joined = expected.join(methods).join(given.withColumnRenamed("text", "found"), ["method", "document", "region"], "left").withColumn("found", F.coalesce("found", F.lit("")))
+    joined = each_method(expected, given).join(given.withColumnRenamed("text", "found"), ["method", "document", "region"], "left").withColumn("found", F.coalesce("found", F.lit("")))
     return joined.groupBy("method", "document").agg(
         F.count(F.lit(1)).alias("regions"), F.count_if(F.col("text") == F.col("found")).alias("correct_regions"),
         F.sum(F.length("text")).alias("region_characters"), F.sum(edit_distance(F.col("text"), F.col("found"))).cast("long").alias("region_edit_distance"),
@@ -247,5 +245,5 @@ def leaking_templates(refs: DataFrame) -> DataFrame:
 
 def variant_differences(scores: DataFrame, baseline: str) -> DataFrame:
     """(variant, method, difference) of scores (variant, method, score) from those of ``baseline``."""
-    base = small(scores.where(F.col("variant") == baseline).select("method", F.col("score").alias("base")))
+    base = scores.where(F.col("variant") == baseline).select("method", F.col("score").alias("base"))
     return scores.join(base, "method").select("variant", "method", (F.col("score") - F.col("base")).alias("difference"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .alignment import UNIT, aligned, by_page
-from .panel import small
 
 NEAR, SHOWN = 8, 80
 STATES = ("complete", "failed", "truncated")
@@ -119,7 +118,7 @@ SHARED = ["token_start", "token_end", "text", "context_before", "context_after",
 
 def family_states(found: DataFrame, panel: DataFrame) -> DataFrame:
     """One state for each passage and family, from those of its members: all must support; else the worst told."""
-    joined = found.join(small(panel.select(F.col("method").alias("peer"), "family")), "peer")
+    joined = found.join(panel.select(F.col("method").alias("peer"), "family"), "peer")
     states = F.collect_set("state").alias("states")
     members = F.map_from_entries(F.array_sort(F.collect_list(F.struct("peer", F.struct("state", "peer_token_start", "peer_token_end", "peer_text", "peer_text_truncated"))))).alias("members")
     grouped = joined.groupBy(*PASSAGE, "family").agg(*[F.first(c).alias(c) for c in SHARED], states, members)
@@ -139,7 +138,7 @@ def passages(states: DataFrame, families: DataFrame, required: int) -> DataFrame
     grouped = states.groupBy(*PASSAGE).agg(
         *[F.first(c).alias(c) for c in SHARED], *[of(s).alias(f"{n}_families") for s, n in names.items()], F.count(F.lit(1)).cast("int").alias("total_family_count"), evidence_map.alias("family_evidence")
     )
-    own = small(families.groupBy("method").agg(F.collect_set("family").alias("own")))
+    own = families.groupBy("method").agg(F.collect_set("family").alias("own"))
     some = lambda c: F.size(c) > 0
     out = grouped.join(own, "method").withColumns({
         "supporting_family_count": F.size("supporting_families"), "required_family_count": F.lit(required),

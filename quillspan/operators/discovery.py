@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import routing_words
-from .panel import small
 
 
 def shortlist(blocks: DataFrame, schemas: DataFrame, k: int = 5) -> DataFrame:
@@ -30,8 +29,8 @@ def shortlist(blocks: DataFrame, schemas: DataFrame, k: int = 5) -> DataFrame:
     shared = words.join(catalogue, "word").groupBy("block_id", "schema_id").agg(F.count(F.lit(1)).alias("shared"))
     best = Window.partitionBy("block_id").orderBy(F.col("shared").desc(), "schema_id")
     top = shared.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    fill = small(schemas.select("schema_id").distinct().orderBy("schema_id").limit(k).agg(F.collect_list("schema_id").alias("spare")))
-    spare = blocks.select("block_id").distinct().join(fill).select("block_id", F.explode("spare").alias("schema_id"), F.lit(0).cast("long").alias("shared"))
+    fill = schemas.select("schema_id").distinct().orderBy("schema_id").limit(k).agg(F.collect_list("schema_id"))
+    spare = blocks.select("block_id").distinct().select("block_id", F.explode(fill.scalar()).alias("schema_id"), F.lit(0).cast("long").alias("shared"))
     # A spare that is on the list already counts once, with its words; k + k rows a block at most.
     rest = spare.join(top.select("block_id", "schema_id"), ["block_id", "schema_id"], "left_anti")
     return top.drop("place").unionByName(rest).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
@@ -70,7 +69,7 @@ def verify(claims: DataFrame) -> DataFrame:
 def discover(blocks: DataFrame, routes: DataFrame, fields: DataFrame, adapter: Callable[[str, list[str]], list[dict]], size: int = 40) -> DataFrame:
     """Verified claims for each routed block and batch of fields. ``adapter`` gets a text and field ids, and returns claims (field_id, evidence, value, occurrence)."""
     grouped = batches_of(fields, size).groupBy("schema_id", "batch").agg(F.array_sort(F.collect_list("field_id")).alias("field_ids"))
-    asked = blocks.join(routes.select("block_id", "schema_id"), "block_id").join(small(grouped), "schema_id").select("block_id", "schema_id", "start", "text", "field_ids")
+    asked = blocks.join(routes.select("block_id", "schema_id"), "block_id").join(grouped, "schema_id").select("block_id", "schema_id", "start", "text", "field_ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["block_id", "schema_id", "start", "text", "field_id", "evidence", "value", "occurrence"]

@@ -1,8 +1,8 @@
 """Family-balanced votes of a fixed panel of methods.
 
 A method is scored by panel members of other families only; members of one family
-share one vote. The tables of methods and families are tiny whatever the corpus:
-their sizes are checked before they are broadcast.
+share one vote. The tables of methods and families are tiny whatever the corpus;
+Spark measures them while a query runs, and joins by broadcast what is small enough.
 """
 
 from __future__ import annotations
@@ -10,17 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A table of methods larger than this joins by shuffle.
-SMALL = 10_000
-
-
-def small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
-
-
 def panel_edges(scores: DataFrame, panel: DataFrame) -> DataFrame:
     """Only pairs that touch the panel: the others change no panel score."""
-    one = small(panel.select(F.col("method").alias("voter")))
+    one = panel.select(F.col("method").alias("voter"))
     touched = scores.join(one, (F.col("left") == F.col("voter")) | (F.col("right") == F.col("voter")), "left_semi")
     return touched
 
@@ -31,10 +23,16 @@ def ends(scores: DataFrame, measure: str, keys: list[str]) -> DataFrame:
     return scores.select(*keys, F.col(measure).alias("s"), F.inline(sides))
 
 
+def each_method(rows: DataFrame, methods: DataFrame) -> DataFrame:
+    """``rows`` once for each method of ``methods``, whose names go along as one array: they are few, whatever the corpus."""
+    names = methods.agg(F.array_sort(F.collect_set("method")))
+    return rows.withColumn("method", F.explode(names.scalar()))
+
+
 def votes(pairs: DataFrame, measure: str, families: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, method, peer, peer_family, s): a panel member's vote on a method that shares no family with it."""
-    own = small(families.groupBy("method").agg(F.collect_set("family").alias("own")))
-    peers = small(panel.select(F.col("method").alias("peer"), F.col("family").alias("peer_family")))
+    own = families.groupBy("method").agg(F.collect_set("family").alias("own"))
+    peers = panel.select(F.col("method").alias("peer"), F.col("family").alias("peer_family"))
     voted = ends(pairs, measure, keys).join(peers, "peer").join(own, "method")
     return voted.where(~F.array_contains("own", F.col("peer_family"))).drop("own")
 
@@ -45,7 +43,7 @@ def balanced(voted: DataFrame, keys: list[str], families: DataFrame) -> DataFram
     score = by_family.groupBy(*keys, "method").agg((100 * F.avg("s")).alias("score"))
     if keys:
         return score
-    return small(families.select("method").distinct()).join(score, "method", "left")
+    return families.select("method").distinct().join(score, "method", "left")
 
 
 def document_pairs(scores: DataFrame, measure: str = "similarity") -> DataFrame:
@@ -72,10 +70,10 @@ def leave_one_family_out(scores: DataFrame, families: DataFrame, panel: DataFram
     """(family, method, score): the panel's scores without the voters of one family at a time."""
     pairs = corpus_pairs(document_pairs(panel_edges(scores, panel), measure))
     voted = votes(pairs, "s", families, panel, [])
-    every = small(panel.select("family").distinct())
+    every = panel.select("family").distinct()
     left = voted.join(every, F.col("family") != F.col("peer_family"))
     kept = balanced(left, ["family"], families)
-    grid = every.join(small(families.select("method").distinct()))
+    grid = each_method(every, families)
     return grid.join(kept, ["family", "method"], "left")
 
 
@@ -85,10 +83,10 @@ def family_sensitivity(scores: DataFrame, family_of: DataFrame, measure: str = "
     ``family_of`` gives each method one family; ``excluded`` is null for the full panel.
     """
     pairs = corpus_pairs(document_pairs(scores, measure))
-    fam = small(family_of)
+    fam = family_of
     sided = ends(pairs, "s", []).join(fam.withColumnRenamed("family", "own"), "method").join(fam.select(F.col("method").alias("peer"), F.col("family").alias("peer_family")), "peer")
     voted = sided.where("own <> peer_family")
-    cases = small(family_of.select("family").distinct().select(F.col("family").alias("excluded")).union(family_of.sparkSession.createDataFrame([(None,)], "excluded string")))
+    cases = family_of.select("family").distinct().select(F.col("family").alias("excluded")).union(family_of.sparkSession.createDataFrame([(None,)], "excluded string"))
     left = voted.join(cases, F.col("excluded").isNull() | ((F.col("excluded") != F.col("own")) & (F.col("excluded") != F.col("peer_family"))))
     by_family = left.groupBy("excluded", "method", "peer_family").agg(F.avg("s").alias("s"))
     score = by_family.groupBy("excluded", "method").agg((100 * F.avg("s")).alias("score"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def bootstrap(page_scores: DataFrame, repetitions: int = 2000, seed: int = 20260910) -> DataFrame:
     """(method, share_first, low, high) of (document, page, method, score) by paired page resampling within documents.
@@ -15,21 +17,17 @@ def bootstrap(page_scores: DataFrame, repetitions: int = 2000, seed: int = 20260
     documents; the first place is shared among ties. Bounds are the 50th and
     1950th of 2000 sorted means, or their like.
     """
-    from pyspark.sql import Window
-
     methods = page_scores.groupBy("document", "page").agg(F.array_sort(F.collect_list(F.struct("method", "score"))).alias("scores"))
     numbered = methods.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", "scores"))).alias("pages"))
-    spark = page_scores.sparkSession
-    reps = spark.range(repetitions).withColumnRenamed("id", "rep")
-    # Repetitions are few; every document, with its own pages only, meets each of them.
     n = F.size("pages")
-    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("document"), i), n).cast("int")
-    drawn = numbered.join(F.broadcast(reps)).withColumn("drawn", F.transform(F.sequence(F.lit(1), n), lambda i: F.get("pages", draw(i))["scores"]))
     # Every page has the same methods, in the same order.
-    names = F.transform(F.get("drawn", F.lit(0)), lambda s: s["method"])
-    long = drawn.select("rep", "document", F.posexplode(names).alias("j", "method"), "drawn")
-    mean = F.aggregate("drawn", F.lit(0.0), lambda a, m: a + F.get(m, F.col("j"))["score"]) / F.size("drawn")
-    by_rep = long.select("rep", "method", mean.alias("s")).groupBy("rep", "method").agg(F.avg("s").alias("s"))
+    names = F.transform(F.get("pages", F.lit(0))["scores"], lambda s: s["method"])
+    draws = lambda rep: F.transform(F.sequence(F.lit(1), n), lambda i: F.pmod(F.xxhash64(F.lit(seed), rep, F.col("document"), i), n).cast("int"))
+    mean = lambda at, j: F.aggregate(at, F.lit(0.0), lambda a, k: a + F.get(F.get("pages", k)["scores"], j)["score"]) / n
+    means = lambda at: F.transform(names, lambda name, j: F.struct(name.alias("method"), mean(at, j).alias("s")))
+    # All repetitions of a document are drawn inside its row, so its pages are never copied; its means are all that moves on.
+    reps = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(repetitions - 1).cast("long")), lambda rep: F.struct(rep.alias("rep"), let(draws(rep), means).alias("means")))
+    by_rep = numbered.select(F.inline(reps)).select("rep", F.inline("means")).groupBy("rep", "method").agg(F.avg("s").alias("s"))
     best = Window.partitionBy("rep")
     shared = by_rep.withColumn("top", F.max("s").over(best)).withColumn("wins", (F.col("s") == F.col("top")).cast("int"))
     shared = shared.withColumn("share", F.col("wins") / F.sum("wins").over(best))

@@ -164,7 +164,7 @@ def s18(spark, sf_dir):
 def a33(spark, sf_dir):
     """The mean without a document is the total less its share: one pass, where a self join would pair all documents."""
     by_document = C.page_scores(scores(spark, sf_dir)).groupBy("document", "method").agg(F.avg("score").alias("s"))
-    total = P.small(by_document.groupBy("method").agg(F.sum("s").alias("total"), F.count(F.lit(1)).alias("n")))
+    total = by_document.groupBy("method").agg(F.sum("s").alias("total"), F.count(F.lit(1)).alias("n"))
     made = by_document.join(total, "method")
     return rounded(made.select("document", "method", F.try_divide(F.col("total") - F.col("s"), (F.col("n") - 1).cast("double")).alias("score")), "score")
 

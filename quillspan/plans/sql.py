@@ -43,15 +43,15 @@ talk AS (
       CASE WHEN failed THEN 'failed' ELSE 'complete' END FROM talk
 )"""
 
-TOKENS = f"""{CORPUS}, tok AS (
+TOKENS = f"""{CORPUS}, tok AS MATERIALIZED (
   SELECT document, page, method, text, status, {tokens('text')} AS words, {numbers('text')} AS numbers FROM corpus
-), uni AS (
+), uni AS MATERIALIZED (
   SELECT document, page, method, t, count(*) AS n FROM (SELECT document, page, method, unnest(words) AS t FROM tok) GROUP BY ALL
-), bi AS (
+), bi AS MATERIALIZED (
   SELECT document, page, method, t, count(*) AS n FROM (
     SELECT document, page, method, unnest(list_transform(range(1, len(words)), lambda i: words[i] || chr(31) || words[i + 1])) AS t FROM tok
   ) GROUP BY ALL
-), num AS (
+), num AS MATERIALIZED (
   SELECT document, page, method, t, count(*) AS n FROM (SELECT document, page, method, unnest(numbers) AS t FROM tok) GROUP BY ALL
 )"""
 
@@ -73,7 +73,7 @@ PAIRS = f"""{TOKENS}, pairs AS (
   LEFT JOIN ({meet('num')}) n USING (document, page, "left", "right")
 ), overlapped AS (
   SELECT *, CASE WHEN left_tokens + right_tokens > 0 THEN 2.0::DOUBLE * shared_tokens / (left_tokens + right_tokens) ELSE 0.0 END AS token_overlap FROM counted
-), scores AS (
+), scores AS MATERIALIZED (
   SELECT *, CASE WHEN total_bigrams > 0 THEN 2.0::DOUBLE * shared_bigrams / total_bigrams ELSE token_overlap END AS bigram_overlap,
          (token_overlap + CASE WHEN total_bigrams > 0 THEN 2.0::DOUBLE * shared_bigrams / total_bigrams ELSE token_overlap END) / 2 AS similarity,
          CASE WHEN total_numbers > 0 THEN 2.0::DOUBLE * shared_numbers / total_numbers END AS numeric_agreement
