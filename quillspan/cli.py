@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import benchmark, consensus, corroboration, discovery, extraction, panel, sinks
-from .sources import json_io
+from .sources import checks, json_io
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -76,15 +76,25 @@ def compare_variants(spark: SparkSession, scores: str, baseline: str, out: str)
     sinks.write_json(benchmark.variant_differences(read_table(spark, scores), baseline), out)
 
 
+def one_profile(spark: SparkSession, path: str) -> dict:
+    """The profile of a file: the only one of a file of profiles, which is checked, or a profile by itself."""
+    rules = json_io.strict_json(Path(path).read_text(encoding="utf-8"))
+    if "profiles" not in rules:
+        return rules
+    checks.demand(checks.profile_problems(spark, rules))
+    (only,) = rules["profiles"].values()
+    return only
+
+
 def extract_profile(spark: SparkSession, corpus: str, profile: str, out: str) -> None:
-    rules = json_io.strict_json(Path(profile).read_text(encoding="utf-8"))
+    rules = one_profile(spark, profile)
     pages = json_io.read_corpus(spark, corpus)
     keyed = pages.select(F.xxhash64("document").alias("document"), "method", F.col("page").cast("long").alias("page"), "text")
     sinks.write_json(extraction.profile_predictions(keyed, rules, "markdown"), out)
 
 
 def init_reference(spark: SparkSession, folder: str, profile: str, out: str) -> None:
-    rules = json_io.strict_json(Path(profile).read_text(encoding="utf-8"))
+    rules = one_profile(spark, profile)
     slots = F.explode(F.array(*map(F.lit, rules["fields"]))).alias("field")
     draft = json_io.discover_files(spark, folder).select("path", "sha256", slots, F.lit("unannotated").alias("status"), F.lit(None).cast("string").alias("value"))
     sinks.write_draft(draft, out)
