@@ -2,10 +2,14 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
 from pathlib import Path
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, imatch, language_id, packing, token_counts, url_filter
@@ -125,6 +129,51 @@ def test_edited_texts_in_order(spark):
     assert imatch.compare_edited(docs(spark, [(1, "a b c d e")])).first()["near_next"] == 1.0
 
 
+def test_fingerprints_equal_brute_force(spark):
+    """Lexicon band, subsets, hashes, marker and likeness, worked out again from the texts alone."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[60 - i for i in range(60)], k=rng.randint(3, 40))) for _ in range(30)]
+    texts += [None, "", "?!", "only rare here", "Only RARE here", texts[0], texts[0], "long " * 30_000 + texts[1]]
+    band = (0.1, 0.4)
+    rows = list(enumerate(texts))
+    df = {}
+    for _, t in rows:
+        for w in set(re.findall(r"\w+", (t or "").lower())):
+            df[w] = df.get(w, 0) + 1
+    lexicon = {w for w, n in df.items() if max(2, math.ceil(band[0] * len(rows))) <= n <= max(2, math.floor(band[1] * len(rows)))}
+    assert 5 < len(lexicon) < len(df)
+
+    def told(words):
+        x = hashlib.blake2b(" ".join(sorted(words)).encode(), digest_size=4).hexdigest()
+        return x if words else "0" * 8
+
+    def fingerprint(t):
+        every = set(re.findall(r"\w+", t.lower()))
+        kept = every & lexicon
+        if every and not kept:
+            return ["f" * 8, told(every)] + ["0" * 8] * 55
+        subsets = [kept] + [{w for w in kept if xxhash.xxh64_intdigest(w, seed=1 + 8 * k + i) % 2**d == 0} for k, d in enumerate((1, 3, 5, 6, 7, 8, 9)) for i in range(8)]
+        return [told(x) for x in subsets]
+
+    def likeness(x, y):
+        if x == y:
+            return 1.0
+        used = [[(p, q) for p, q in zip(x[i : i + 8], y[i : i + 8], strict=True) if {p, q} != {"0" * 8}] for i in range(1, 57, 8)]
+        shares = [sum(p == q for p, q in u) / len(u) for u in used if len(u) >= 4]
+        every = [p == q for p, q in zip(x, y, strict=True) if {p, q} != {"0" * 8}]
+        return round(max(shares) if shares else sum(every) / len(every), 6)
+
+    got = {r["doc_id"]: r for r in imatch.compare_edited(docs(spark, rows), band).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        mine, changed, other = fingerprint(t), fingerprint(edited), fingerprint(after)
+        assert got[i]["fingerprint"] == "".join(mine) and got[i]["edited_fingerprint"] == "".join(changed)
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (likeness(mine, changed), likeness(mine, other))
+
+
 def test_fingerprints_tell_edits_from_others(spark):
     base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = imatch.compare_edited(base).select("near_edited", "near_next").collect()
@@ -145,6 +194,34 @@ def test_contamination_in_any_order(spark):
     assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0)).count() == 0 and decontaminate.decontaminate(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_equals_brute_force(spark):
+    """Greedy tiling of every document with every item, as published; passages reordered, cut, repeated and mixed."""
+    rng = random.Random(13)
+    word = lambda: f"v{rng.randrange(400)}"
+    items = [[word() for _ in range(rng.randint(5, 18))] for _ in range(12)]
+    items.append(items[0][:9] + items[1][:6])
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            item = rng.choice(items)
+            cut = rng.randint(0, len(item))
+            parts += rng.choice([item, item[cut:] + item[:cut], item[: cut + 1], item * 2, [w for w in item if rng.random() > 0.1]]) + [word() for _ in range(rng.randint(0, 4))]
+        texts.append(parts)
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for t in [*items, *texts] for w in t))}
+    want = {}
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            covered = sum(x[2] for x in greedy([number[w] for w in item], [number[w] for w in t], 5))
+            if covered >= 0.8 * len(item) - 1e-9:
+                want[d, k] = (len(item), covered)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    long = " ".join([*texts[0], *["x"] * 60_000, *items[2]])
+    rows = [*enumerate(" ".join(t) for t in texts), (99, long)]
+    found = {(r["doc_id"], r["item_id"]): (r["n_words"], r["n_covered"]) for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert {k: v for k, v in found.items() if k[0] != 99} == want and len(want) > 30 and (99, 2) in found
+
+
 def test_contamination_by_short_items(spark):
     bench = spark.createDataFrame([(1, "too short"), (2, "Paris"), (3, "a b c d"), (4, "?!"), (5, "a b c d e"), (6, "too short")], "item_id long, text string")
     rows = [(1, "it is too short, really"), (2, "short too paris"), (3, "a b c x d"), (4, "x a b c d"), (5, "a b c d e"), (6, "?!"), (7, "Too short")]
@@ -205,6 +282,44 @@ def test_url_models_separate_what_rules_label(spark):
     assert all((r["verdict"] == "allow") == (r["page_id"] % 2 == 1) for r in got)
 
 
+def test_url_threshold_has_the_least_balanced_error(monkeypatch):
+    monkeypatch.setattr(url_filter, "rate", lambda model, urls: np.array([float(u) for u in urls]))
+    rng = random.Random(15)
+    for _ in range(100):
+        good, bad = ([round(rng.gauss(m, 1), 1) for _ in range(rng.randint(1, 12))] for m in (1, -1))
+        error = lambda cut: sum(x < cut for x in good) / len(good) + sum(x >= cut for x in bad) / len(bad)  # noqa: B023, E731
+        cut = url_filter.calibrated(None, {"allow": [str(x).encode() for x in good], "block": [str(x).encode() for x in bad]})
+        assert error(cut) <= min(error(x + e) for x in good + bad for e in (-0.01, 0.01)) + 1e-9
+
+
+def test_url_verdicts_follow_ratio_and_threshold(spark):
+    rows = [(i, f"http://site{i}.{'org' if i % 3 else 'com'}/{'fr' if i % 2 else 'de'}/{'sport' if i % 3 else 'casino'}{i}") for i in range(80)]
+    rows += [(100 + i, f"http://other.net/{w}{i}") for i, w in enumerate(["sport", "casino", "de", "x"] * 5)] + [(200, None), (200, None), (201, "http://a.net/" + "z" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    judged = df.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    judged = judged.withColumn("by_rule", url_filter.rule_of(F.col("host"), F.col("path"), url_filter.RULES, "verdict"))
+    model, least = url_filter.train(judged, "url", "by_rule", "page_id")
+    got = url_filter.filter_urls(df).collect()
+    assert len(got) == len(rows)
+    for r, url in ((r, dict(rows)[r["page_id"]] or "") for r in got if r["rule"] is None):
+        bits = dict(zip(model.classes, model.bits([url.lower().encode()])[0], strict=True))
+        assert r["ratio"] == pytest.approx((bits["block"] - bits["allow"]) / max(1, len(url)), abs=1e-6)
+        assert r["verdict"] == ("allow" if r["ratio"] >= least else "block")
+
+
+def test_languages_need_letters_and_labels(spark):
+    """Signs that count as words but aren't letters give no language; a label without a text isn't learned; scores are posteriors."""
+    rows = [(i, w * 20, l) for i, (w, l) in enumerate([("the cat sat ", "en"), ("le chat noir ", "fr")] * 30)] + [(900, "\u00b2 \u00bd \u2460 \u2167 12", "en"), (901, None, "xx"), (902, "le chat", None), (902, "le chat", None)]
+    got = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "fr"
+    assert {r["lang_pred"] for r in got.values()} == {"und", "en", "fr"} and all(0 <= r["score"] <= 1 for r in got.values())
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    clash = language_id.identify(docs(spark, [(1, "a cat")]).withColumnRenamed("source", "lang_pred"), None, ["doc_id", "lang_pred"])
+    assert clash.columns[:2] == ["doc_id", "lang_pred"] and len(set(clash.columns)) == 5 and clash.first()["lang_pred"] == "s"
+
+
 def test_language_accuracy_and_odd_rows(spark):
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = language_id.language_id(base).join(base.select("doc_id", "lang"), "doc_id").where("held_out")
