@@ -12,7 +12,6 @@ that no document shares.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +112,7 @@ def credited(matched: DataFrame) -> DataFrame:
 
 def counters(refs: DataFrame, preds: DataFrame, profile: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(method, document, field, counters): one row for each field that is annotated or predicted. Records and documents count under a null field."""
-    # Several counters are taken from the matches; a lost part is matched again from its inputs.
-    base = matches(refs, preds, profile, threshold).drop("mine", "theirs").persist(StorageLevel.MEMORY_AND_DISK)
+    base = matches(refs, preds, profile, threshold).drop("mine", "theirs")
     done = credited(base)
     critical = F.col("critical")
     parts = [
@@ -134,7 +132,7 @@ def counters(refs: DataFrame, preds: DataFrame, profile: DataFrame, threshold: f
         ),
         relations(base).select("method", "document", "field", F.lit(1).cast("long").alias("relationships"), flag(F.col("correct")).alias("correct_relationships")),
     ]
-    extra = extras(refs, preds, profile, base).persist(StorageLevel.MEMORY_AND_DISK)
+    extra = extras(refs, preds, profile, base)
     parts.append(extra.select("method", "document", "field", F.lit(1).cast("long").alias("extra_fields"), F.length("value").cast("long").alias("field_edit_distance")))
     parts += outcomes(refs, profile, done, extra)
     return summed(parts, ["method", "document", "field"])
