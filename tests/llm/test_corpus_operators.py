@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_small_operators import greedy
+
 from quillspan.llm import dart_minhash, packing, queries, repeats, secrets, warc
 
 DIR = "/root/testdata/sf0.001"
@@ -307,7 +309,11 @@ def test_pipeline(spark):
     assert set(after["near_duplicates"]) == set(near)
     words = lambda t: f" {' '.join(re.findall(r'\w+', (t or '').lower()))} "
     leaked = {i for i, t in seen["decontaminate"].items() if any(words(b) in words(t) for b in bench)}
-    assert leaked and not leaked & set(after["decontaminate"]) and len(set(seen["decontaminate"]) - set(after["decontaminate"]) - leaked) <= 2
+    assert leaked and not leaked & set(after["decontaminate"])
+    for i in set(seen["decontaminate"]) - set(after["decontaminate"]) - leaked:  # in other words, or in another order
+        text, items = words(seen["decontaminate"][i]).split(), [words(b).split() for b in bench]
+        near = [b for b in items if len({tuple(b[k : k + 5]) for k in range(len(b) - 4)} & {tuple(text[k : k + 5]) for k in range(len(text) - 4)}) > 0]
+        assert any(sum(t[2] for t in greedy(b, text, 5)) >= 0.8 * len(b) - 1e-9 for b in near)
     for i, t in after["secret_scan"].items():
         before = seen["secret_scan"][i]
         assert base_spans(t) == "" and ((t == before) == (base_spans(before) == ""))
