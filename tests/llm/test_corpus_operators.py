@@ -399,3 +399,16 @@ def test_repeat_groups_have_all_occurrences(spark):
         assert {(d, a) for d, a, _ in found} == {(d, m.start()) for d, b in enumerate(raw) for m in re.finditer(b"(?=" + re.escape(s) + b")", b)}
     assert [sum(c) for c in covered] == [x[1] for x in cut(texts)]
     assert repeats.repeat_groups(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    rel = con.sql(queries.oracle_sql()[name])
+    made = queries.queries()[name](spark, DIR).select(*rel.columns)
+    key = lambda row: tuple((x is not None, x) for x in row)
+    assert sorted((tuple(r) for r in made.collect()), key=key) == sorted(rel.fetchall(), key=key)
