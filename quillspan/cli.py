@@ -52,6 +52,7 @@ def batch(spark: SparkSession, corpus: str, out: str) -> None:
     ranking, summary = ranked(json_io.read_corpus(spark, corpus))
     sinks.write_csv(ranking, f"{out}/ranking")
     sinks.write_json(summary, f"{out}/pairwise_summary")
+    sinks.write_report(sinks.markdown_report(ranking, "Consensus ranking", ["rank", "method"]), f"{out}/report")
 
 
 def page(spark: SparkSession, out: str, *files: str) -> None:
@@ -70,6 +71,7 @@ def score(spark: SparkSession, refs: str, preds: str, profile: str, out: str) ->
     sinks.write_json(benchmark.ratios(benchmark.rollup(counts.where("field is not null"), r.select("document", "template_id").distinct())), f"{out}/results")
     ranking = consensus.tolerant_rank(benchmark.method_scores(counts.where("field is not null")), "score", "method", 1e-10)
     sinks.write_csv(ranking.orderBy("rank"), f"{out}/ranking")
+    sinks.write_report(sinks.markdown_report(ranking, "Field scores", ["rank", "method"]), f"{out}/report")
 
 
 def compare_variants(spark: SparkSession, scores: str, baseline: str, out: str) -> None:
@@ -95,9 +97,7 @@ def extract_profile(spark: SparkSession, corpus: str, profile: str, out: str) ->
 
 def init_reference(spark: SparkSession, folder: str, profile: str, out: str) -> None:
     rules = one_profile(spark, profile)
-    slots = F.explode(F.array(*map(F.lit, rules["fields"]))).alias("field")
-    draft = json_io.discover_files(spark, folder).select("path", "sha256", slots, F.lit("unannotated").alias("status"), F.lit(None).cast("string").alias("value"))
-    sinks.write_draft(draft, out)
+    sinks.write_draft(sinks.reference_draft(json_io.discover_files(spark, folder), list(rules["fields"])), out)
 
 
 def family_sensitivity(spark: SparkSession, pairs: str, families: str, out: str) -> None:

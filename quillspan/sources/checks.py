@@ -177,6 +177,19 @@ def bundle_problems(bundle: Any) -> list[str]:
     return found
 
 
+#: What the settings of a scoring run may be.
+SETTINGS: dict[str, Rule] = {
+    "entity_weight": (lambda v: positive(v) and v >= 1, "finite and 1 or more"), "overlap_weight": (lambda v: (positive(v) or v == 0) and not isinstance(v, bool) and v <= 1, "from 0 to 1"),
+    "context": (lambda v: type(v) is int and 1 <= v <= 128, "an integer from 1 to 128"), "mode": (lambda v: v in ("regions", "values", "mentions"), "regions, values or mentions"),
+    "weighting": (lambda v: v in ("document", "page"), "document or page"),
+}
+
+
+def setting_problems(settings: dict) -> list[str]:
+    """What is wrong with the settings of a scoring run."""
+    return [f"{k} is no setting" for k in settings if k not in SETTINGS] + [f"{k} must be {SETTINGS[k][1]}" for k, v in settings.items() if k in SETTINGS and not SETTINGS[k][0](v)]
+
+
 def address_problems(url: str) -> list[str]:
     """A service's address must be https, or http on this machine, without credentials, query or fragment."""
     parts = urlsplit(url)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 KEY = ["document", "page", "method"]
@@ -34,6 +35,12 @@ def extend(spark: SparkSession, pages: DataFrame, path: str, work: Callable[[Dat
     return n
 
 
+def assembled(pages: DataFrame) -> DataFrame:
+    """(document, method, text): each method's finished pages as one Markdown text, in order, a rule between pages. A document's pages meet in one row."""
+    listed = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    return pages.groupBy("document", "method").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n---\n\n").alias("text"))
+
+
 def follow(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Work on page files as they arrive; each micro-batch goes through ``extend``, so a batch that is run again adds nothing."""
     stream = spark.readStream.schema(schema).json(source)
