@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark, consensus, control, panel, text
+from . import benchmark, built, consensus, control, panel, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [consensus, panel, benchmark, text, control]
+MODULES = [consensus, panel, benchmark, text, control, built]
 
 
 def queries() -> dict[str, Query]:

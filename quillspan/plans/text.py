@@ -74,7 +74,7 @@ def f08(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "part").select("p_partkey", F.size(T.name_variants(F.col("p_brand"))).alias("variants"))
 
 
-@query("j03_hyphen_repair")
+@query("j03_hyphen_repair", rf"""WITH {sql.CORPUS} SELECT document, page, method, length(t) AS characters, md5(t) AS text_md5 FROM (SELECT document, page, method, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM corpus)""")
 def j03(spark, sf_dir):
     pages = fixtures.pages(spark, sf_dir)
     broken = F.when(F.col("method") == "beta", F.regexp_replace("text", r"(\p{L}{4})(\p{L}{3,}) ", "$1-\n$2 ")).otherwise(F.col("text"))
@@ -146,7 +146,18 @@ def a25(spark, sf_dir):
     return rounded(K.ranking(corroborated(spark, sf_dir)[0], by_page, by_document), "score", "document_score")
 
 
-@query("j15_a06_label_weighted_overlap")
+LABELS = ("thing", "tion", "the", "and", "une", "est", "pour", "that", "other", "ment", "dans")
+
+
+@query(
+    "j15_a06_label_weighted_overlap",
+    f"""WITH {sql.TOKENS}, size AS (SELECT document, page, method, len(words) AS n, len(list_filter(words, lambda w: w IN {LABELS})) AS labels FROM tok),
+        met AS (SELECT a.document, a.page, a.method AS "left", b.method AS "right", sum(least(a.n, b.n)) AS s, coalesce(sum(least(a.n, b.n)) FILTER (a.t IN {LABELS}), 0) AS l
+          FROM uni a JOIN uni b ON a.document = b.document AND a.page = b.page AND a.t = b.t AND a.method < b.method GROUP BY ALL)
+        SELECT a.document, a.page, a.method AS "left", b.method AS "right", round(CASE WHEN a.n + b.n > 0 THEN 2.0::DOUBLE * (coalesce(s, 0) + 2 * coalesce(l, 0)) / (a.n + b.n + 2 * (a.labels + b.labels)) ELSE 0.0 END, 9) AS overlap,
+          round(CASE WHEN a.labels + b.labels > 0 THEN 2.0::DOUBLE * coalesce(l, 0) / (a.labels + b.labels) END, 9) AS phrases
+        FROM size a JOIN size b ON a.document = b.document AND a.page = b.page AND a.method < b.method LEFT JOIN met m ON m.document = a.document AND m.page = a.page AND m."left" = a.method AND m."right" = b.method""",
+)
 def a06(spark, sf_dir):
     root = compiled(TALK)
     both = C.pairs(fixtures.pages(spark, sf_dir).select("document", "page", "method", T.tokens(F.col("text")).alias("words")))
@@ -166,7 +177,19 @@ def a07(spark, sf_dir):
     return rounded(regions.region_agreement(fixtures.pages(spark, sf_dir), compiled(TALK)), "matched_mass", "agreement", "anchor_agreement")
 
 
-@query("w04_a09_a36_localization")
+#: Those of the labels that are no stop words.
+ANCHORS = ("thing", "tion", "une", "est", "pour", "other", "ment", "dans")
+
+
+@query(
+    "w04_a09_a36_localization",
+    f"""WITH {sql.CORPUS}, t AS (SELECT document, page, method, {sql.tokens('text')} AS words FROM corpus),
+        spots AS (SELECT document, page, method, len(words) AS n, unnest(list_filter(range(1, len(words) + 1), lambda i: words[i] IN {ANCHORS})) AS p FROM t),
+        near AS (SELECT document, page, method, count(DISTINCT i) AS k FROM (SELECT document, page, method, unnest(range(greatest(1, p - 16), least(n, p + 16) + 1)) AS i FROM spots) GROUP BY ALL),
+        found AS (SELECT document, page, method, count(*) AS a FROM spots GROUP BY ALL)
+        SELECT document, page, method, CAST(coalesce(a, 0) AS INTEGER) AS anchors, CAST(0 AS INTEGER) AS unclear_anchors, CAST(len(words) AS INTEGER) AS tokens, CAST(coalesce(k, 0) AS INTEGER) AS selected_tokens, CAST(coalesce(k, 0) AS DOUBLE) AS weight_sum
+        FROM t LEFT JOIN near USING (document, page, method) LEFT JOIN found USING (document, page, method)""",
+)
 def a09(spark, sf_dir):
     return regions.localization(fixtures.pages(spark, sf_dir), compiled(TALK))
 
@@ -353,5 +376,5 @@ def p19(spark, sf_dir):
 
 @query("s16_file_discovery")
 def s16(spark, sf_dir):
-    found = json_io.discover_files(spark, sf_dir, "*.parquet").where(F.col("path").endswith("region.parquet"))
+    found = json_io.discover_files(spark, sf_dir, "*.parquet")
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
