@@ -14,6 +14,8 @@ from ..functions import decode as D
 from ..functions import text as T
 from ..operators import alignment as A
 from ..operators import corroboration as K
+from ..operators import regions
+from ..operators.vocabulary import compiled
 from ..sources import fixtures
 from . import sql
 
@@ -178,3 +180,23 @@ def f02(spark, sf_dir):
     made = marked(spark, sf_dir, D.field_text)
     # Blank lines between blocks don't count.
     return made.select("doc_id", F.md5(F.encode(F.trim(F.regexp_replace("made", r"\s*\n\s*", "\n")), "utf-8")).alias("text_md5"))
+
+
+#: A label that two concepts have, so that its owner is unclear.
+UNCLEAR = {"concepts": {"Thing": {"fields": ["est"]}, "Other": {"fields": ["est"]}}}
+
+
+@query(
+    "j11_o04_built_rejections",
+    """WITH k AS (SELECT item_id, 1 + item_id % 6 AS n FROM benchmark), spots AS (SELECT item_id, n, unnest(range(0, n)) AS i FROM k), pairs AS (SELECT a.item_id, a.n, a.i * 41 AS x, b.i * 41 AS y FROM spots a JOIN spots b USING (item_id)),
+       shown AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY x, y) AS at_most FROM pairs)
+       SELECT item_id AS document, CAST(n * n AS INTEGER) AS rejected, 0 AS matched, string_agg('label:est ' || x || ' ' || y, '; ' ORDER BY x, y) FILTER (at_most <= 20) AS examples FROM shown GROUP BY item_id, n""",
+)
+def o04(spark, sf_dir):
+    # An unclear label among words that the other side doesn't have: no two regions may match.
+    times = (1 + F.col("item_id") % 6).cast("int")
+    sides = F.array(*[F.struct(F.lit(m).alias("method"), F.repeat(F.lit("est " + f"{w} " * 40), times).alias("text")) for m, w in (("a", "qqx"), ("b", "qqy"))])
+    rows = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("document"), F.lit(1).cast("long").alias("page"), F.inline(sides))
+    made = regions.region_agreement(rows, compiled(UNCLEAR))
+    shown = F.array_join(F.transform("examples", lambda e: F.concat_ws(" ", e["tag"], e["left_at"].cast("string"), e["right_at"].cast("string"))), "; ")
+    return made.select("document", "rejected", "matched", shown.alias("examples"))

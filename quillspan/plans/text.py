@@ -174,7 +174,7 @@ def a06(spark, sf_dir):
 
 @query("j10_j11_a07_region_agreement")
 def a07(spark, sf_dir):
-    return rounded(regions.region_agreement(fixtures.pages(spark, sf_dir), compiled(TALK)), "matched_mass", "agreement", "anchor_agreement")
+    return rounded(regions.region_agreement(fixtures.pages(spark, sf_dir), compiled(TALK)).drop("examples"), "matched_mass", "agreement", "anchor_agreement")
 
 
 #: Those of the labels that are no stop words.
