@@ -76,13 +76,28 @@ def low(keys: np.ndarray, n: int) -> np.ndarray:
 
 class ContextModel:
     def __init__(self, samples: dict[str, list[bytes]], order: int = 4, blend: bool = False):
-        self.classes, self.order = sorted(samples), order
+        self.fit({c: np.unique(spread(texts, order)[0], return_counts=True) for c, texts in samples.items()}, order, blend)
+
+    @classmethod
+    def counted(cls, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = 4, blend: bool = False, base: ContextModel | None = None) -> ContextModel:
+        """The model of texts counted elsewhere: for each class the different keys that ``spread`` gives, and how often each occurs.
+
+        With a ``base`` of lower order, its nodes are taken from there. ``grams`` may
+        then be a part, if it has all that have the same ``base.order + 1`` bytes before
+        the last; the model holds for bytes after any of these.
+        """
+        model = cls.__new__(cls)
+        model.fit(grams, order, blend, base)
+        return model
+
+    def fit(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int, blend: bool, base: ContextModel | None = None) -> None:
+        self.classes, self.order = sorted(grams), order
         n = len(self.classes)
-        counts = [np.unique(spread(samples[c], order)[0], return_counts=True) for c in self.classes]
-        self.grams: list[tuple[Keys, np.ndarray]] = []
-        self.escapes: list[tuple[Keys, np.ndarray]] = []
-        below = None  # bits of the grams one byte shorter
-        for k in range(1, order + 2):
+        counts = [grams[c] for c in self.classes]
+        self.grams: list[tuple[Keys, np.ndarray]] = list(base.grams) if base else []
+        self.escapes: list[tuple[Keys, np.ndarray]] = list(base.escapes) if base else []
+        below = base.grams[-1][1] if base else None  # bits of the grams one byte shorter
+        for k in range(len(self.grams) + 1, order + 2):
             keys = np.unique(np.concatenate([low(u, k) for u, _ in counts] or [np.zeros(0, np.uint64)]))
             seen = np.zeros((len(keys), n))
             for j, (u, c) in enumerate(counts):

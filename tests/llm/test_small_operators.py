@@ -307,6 +307,59 @@ def test_url_verdicts_follow_ratio_and_threshold(spark):
         assert r["verdict"] == ("allow" if r["ratio"] >= least else "block")
 
 
+def test_url_models_and_threshold_rest_on_every_label(spark):
+    """Thousands of labels of each verdict, some repeated, one very long: all are counted, and all rated by the models of the other folds."""
+    from quillspan.llm.context_model import ContextModel
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("aeiounstr") for _ in range(4))
+    labels = [("allow", f"http://a.org/{word()}/{word()}") for _ in range(7500)] + [("block", f"http://a.org/{word()}/{'q' if i % 2 else ''}{word()}") for i in range(7000)]
+    labels += labels[::500] + [("block", "http://y.com/de/" + "xyz" * 2000)]
+    df = spark.createDataFrame([(i, v, u) for i, (v, u) in enumerate(labels)] + [(-1, None, "http://b.net/"), (-2, "allow", None)], "page_id long, v string, url string")
+    model, least = url_filter.train(df, "url", "v", "page_id")
+    asked = [u.encode() for u in ["http://b.net/", "http://x.com/de/xyzxyz", "http://a.org/", *(u for _, u in labels[::400])]]
+    of = lambda rows: ContextModel({k: [u.encode() for v, u in rows if v == k] for k in ("allow", "block")}, 5, blend=True)
+    np.testing.assert_allclose(model.bits(asked), of(labels).bits(asked), rtol=1e-12)
+    fold = dict(df.select("url", F.expr("pmod(xxhash64(url), 4)")).where("url is not null").collect())
+    assert set(fold.values()) == {0, 1, 2, 3}
+    good, bad = [], []
+    for f in range(4):
+        others = of([(v, u) for v, u in labels if fold[u] != f])
+        for v, to in (("allow", good), ("block", bad)):
+            bits = others.bits(mine := [u.encode() for w, u in labels if w == v and fold[u] == f])
+            to += [round(x, 6) for x in (bits[:, 1] - bits[:, 0]) / [len(u) for u in mine]]
+    assert (len(good), len(bad)) == (7515, 7015)
+    good, bad, values = np.sort(good), np.sort(bad), np.unique(good + bad)
+    cuts = np.concatenate([[values[0] - 1e-9], (values[1:] + values[:-1]) / 2, [values[-1] + 1e-9]])
+    error = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
+    best = cuts[error <= error.min() + 1e-12]
+    assert 0.01 < error.min() < 0.99 and least == pytest.approx(best[np.abs(best).argmin()], abs=1e-9)
+
+
+def test_url_threshold_by_steps_is_that_of_single_rates(spark):
+    rng = random.Random(32)
+    for n, places in ((3, 1), (60, 3), (3000, 4), (3000, 6)):
+        rows = [(round(rng.gauss(m, 0.01), places), int(m > 0), int(m < 0)) for m in (0.003, -0.003) for _ in range(n)]
+        rates = spark.createDataFrame(rows, "ratio double, good long, bad long").groupBy("ratio").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        each = np.array(sorted(map(tuple, rates.collect())))
+        assert url_filter.threshold(rates) == pytest.approx(url_filter.least_error(each[:, 0], each[:, 0], each[:, 1], each[:, 2]), abs=1e-12)
+
+
+def test_url_models_too_large_to_broadcast_are_joined(spark, monkeypatch):
+    rows = [(i, f"http://site{i % 90}.{'org' if i % 3 else 'com'}/{'fr' if i % 2 else 'de'}/{'sport' if i % 3 else 'casino'}{i}") for i in range(200)]
+    rows += [(300 + i, f"http://other.net/{w}{i}") for i, w in enumerate(["sport", "casino", "\u00df\u20ac", "\U0001f600"] * 5)]
+    rows += [(400, None), (400, None), (401, "http://a.net/" + "z" * 50_000), (402, ""), (403, "~"), (404, "http://b.com/de/" + "z" * 5000)]
+    for table in (rows, URLS, [(1, "http://x.com/de/1"), (2, "http://x.com/de/1"), (3, "http://a.org/b"), (4, "http://a.org/c"), (5, "http://b.net/1")]):
+        df, seen = spark.createDataFrame(table, "page_id long, url string"), []
+        for most, short in ((1_000_000, 0), (0, 0), (0, 1_000_000)):
+            monkeypatch.setattr(url_filter, "MOST_GRAMS", most)
+            monkeypatch.setattr(url_filter, "MOST_SHORT", short)
+            seen.append(sorted(url_filter.filter_urls(df).collect(), key=lambda r: (r["page_id"], r["host"], r["path"])))
+        assert [len(x) for x in seen] == [len(table)] * 3
+        for a, b in [*zip(seen[0], seen[1], strict=True), *zip(seen[0], seen[2], strict=True)]:
+            assert a[:5] == b[:5] and (a["ratio"] is None) == (b["ratio"] is None) and (a["ratio"] or 0) == pytest.approx(b["ratio"] or 0, abs=2e-6)
+
+
 def test_languages_need_letters_and_labels(spark):
     """Signs that count as words but aren't letters give no language; a label without a text isn't learned; scores are posteriors."""
     rows = [(i, w * 20, l) for i, (w, l) in enumerate([("the cat sat ", "en"), ("le chat noir ", "fr")] * 30)] + [(900, "\u00b2 \u00bd \u2460 \u2167 12", "en"), (901, None, "xx"), (902, "le chat", None), (902, "le chat", None)]
