@@ -61,22 +61,24 @@ def per_text(
     Row-local: no shuffle, and a lost executor costs only its own splits. Rows go
     to ``fn`` in slices of bounded bytes, so a batch of very long texts stays small.
     An added column whose name is taken gets underscores; it stays in its place.
+    A text that is kept goes to Python once.
     """
     from pyspark.sql.types import StructField, StructType
 
     added = StructType.fromDDL(schema)
-    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
-    out = StructType([*source.schema.fields[:-1], *(StructField(f"a{i}", f.dataType) for i, f in enumerate(added.fields))])
+    at = keep.index(text) if text in keep else len(keep)
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate([*keep, text] if at == len(keep) else keep)])
+    out = StructType([*source.schema.fields[: len(keep)], *(StructField(f"a{i}", f.dataType) for i, f in enumerate(added.fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                texts = part.column(part.num_columns - 1).to_pylist()
+            for part in slices(batch, at):
+                texts = part.column(at).to_pylist()
                 made = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(texts), list(arrow)[len(keep) :], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns[:-1], arrow, strict=False)), *made], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns[: len(keep)], arrow, strict=False)), *made], schema=arrow)
 
     done = source.mapInArrow(run, out)
     taken, names = {c.lower() for c in keep}, []
@@ -143,7 +145,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value

@@ -18,8 +18,11 @@ down the tree, adding each context's escape.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: So many bytes times classes are scored at once.
 BLOCK = 1 << 18
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,15 +62,23 @@ class Keys:
 
 def spread(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(key of the last order + 1 bytes, number of the text) of every byte; each text starts after ``order`` zero bytes."""
+    return next(spread_blocks(texts, order, max(1, sum(map(len, texts)))), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+
+def spread_blocks(texts: list[bytes], order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``spread`` gives, in blocks of ``size`` bytes: it takes some 40 times the memory of the bytes themselves."""
     pad = b"\0" * order
     raw = np.frombuffer(pad + pad.join(texts) if texts else pad, dtype=np.uint8)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(int(sizes.sum()), dtype=np.int64) + order * (owner + 1)
-    keys = np.zeros(len(at), dtype=np.uint64)
-    for j in range(order + 1):
-        keys |= raw[at - j].astype(np.uint64) << np.uint64(8 * j)
-    return keys, owner
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    total = int(ends[-1]) if texts else 0
+    for a in range(0, total, size):
+        at = np.arange(a, min(a + size, total), dtype=np.int64)
+        owner = np.searchsorted(ends, at, side="right")
+        at += order * (owner + 1)
+        keys = np.zeros(len(at), dtype=np.uint64)
+        for j in range(order + 1):
+            keys |= raw[at - j].astype(np.uint64) << np.uint64(8 * j)
+        yield keys, owner
 
 
 def low(keys: np.ndarray, n: int) -> np.ndarray:
@@ -117,12 +128,12 @@ class ContextModel:
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of every text under every class, in the order of ``classes``."""
-        keys, owner = spread(texts, self.order)
         out = np.zeros((len(texts), len(self.classes)))
-        for a in range(0, len(keys), BLOCK):
-            cost, mine = self.each(keys[a : a + BLOCK]), owner[a : a + BLOCK]
+        for keys, owner in spread_blocks(texts, self.order, max(1, BLOCK // max(1, len(self.classes)))):
+            cost, first = self.each(keys), owner[0]
             for j in range(len(self.classes)):
-                out[:, j] += np.bincount(mine, weights=cost[:, j], minlength=len(texts))
+                added = np.bincount(owner - first, weights=cost[:, j])
+                out[first : first + len(added), j] += added
         return out
 
     def each(self, keys: np.ndarray) -> np.ndarray:

@@ -19,7 +19,8 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,9 +155,12 @@ def best_fit_pack(
     # The hash takes the length too, so that rows that share an id (a null one, say) still spread.
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(17)), F.lit(shards)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        got = pack(pdf["length"].tolist(), sizes, cost)
-        return pdf.assign(bin=[x[0] for x in got], capacity=[x[1] for x in got], offset=[x[2] for x in got])[[x.split()[0] for x in out.split(", ")]]
+    def run(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        got = pack(rows["length"].take(order).to_pylist(), sizes, cost)
+        back = pc.sort_indices(order)  # the rows stay as they came, so their bytes aren't copied
+        for i, name in enumerate(("bin", "capacity", "offset")):
+            rows = rows.append_column(name, pa.array([x[i] for x in got], pa.int64()).take(back))
+        return rows.select([x.split()[0] for x in out.split(", ")])
 
-    return dealt.groupBy("shard").applyInPandas(run, out)
+    return dealt.groupBy("shard").applyInArrow(run, out)

@@ -402,3 +402,48 @@ def test_code_lengths_equal_a_plain_tree():
         for text in (b"abra", b"zzz", b"q", b"xyabc\0"):
             want = [sum(-math.log2(p(c, (b"\0\0" + text)[i : i + 2], text[i])) for i in range(len(text))) for c in model.classes]
             assert model.bits([text])[0].tolist() == pytest.approx(want)
+
+
+def test_large_ids_are_packed_unchanged_beside_null_ones(spark):
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**60) - 1]
+    rows = packing.best_fit_pack(docs(spark, [(i, "abc") for i in ids]), content=True).collect()
+    assert {r["doc_id"] for r in rows} == set(ids) and all(bytes(r["content"]) == b"abc" for r in rows)
+    assert sorted(r["offset"] for r in rows) == [0, 3, 6, 9] and {(r["bin"], r["capacity"]) for r in rows} == {(0, 2048)}
+    # Longest first, then by id, then by piece; nulls last.
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["offset"])] == [-(2**60) - 1, 2**53 + 1, 2**53 + 3, None]
+
+
+def test_scoring_texts_takes_bounded_memory():
+    import tracemalloc
+
+    from quillspan.llm.context_model import ContextModel, spread, spread_blocks
+
+    rng = random.Random(4)
+    texts = [b"", *(bytes(rng.choices(b"abcdefgh \xc3\xa9", k=n)) for n in (400_000, 1, 0, 3, 600_000)), b""]
+    model = ContextModel({c: [bytes(rng.choices(c.encode() + b"abc ", k=500))] for c in "dxyz"}, 4)
+    tracemalloc.start()
+    try:
+        bits = model.bits(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20 << 20  # of all bytes at once: 46 MB
+    keys, owner = spread(texts, 4)
+    cost = model.each(keys)
+    np.testing.assert_allclose(bits, [[cost[owner == i, j].sum() for j in range(4)] for i in range(len(texts))], rtol=1e-9)
+    parts = list(spread_blocks(texts, 4, 1000))
+    assert (np.concatenate([k for k, _ in parts]) == keys).all() and (np.concatenate([o for _, o in parts]) == owner).all()
+    assert [len(x) for x in spread([b"", b""], 4)] == [0, 0] == [len(x) for x in spread([], 4)]
+
+
+def test_a_kept_text_goes_to_python_once(spark):
+    from quillspan.llm.common import per_text
+
+    rows = docs(spark, ODD[:5])
+    for keep in (["doc_id", "text", "lang"], ["doc_id"]):
+        made = per_text(rows, "text", keep, "k0 long, text string", lambda t: [[len(x or "") for x in t], t])
+        assert made.columns == [*keep, "k0", "text_" if "text" in keep else "text"]
+        sent = re.search(r"MapInArrow.*\n[^\[]*\[(.*)\]", made._jdf.queryExecution().analyzed().toString()).group(1)
+        assert len(re.findall(r"text#\d+ AS", sent)) == 1
+        assert sorted(map(str, (r[0] for r in made.collect()))) == sorted(str(i) for i, _ in ODD[:5])
+        assert all(r["k0"] == len(r[-1] or "") for r in made.collect())
