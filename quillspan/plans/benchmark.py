@@ -326,4 +326,4 @@ def j24(spark, sf_dir):
 def j25(spark, sf_dir):
     routes = spark.createDataFrame([("Amount", 1), ("Date", 2), ("Status", 3)], "field string, page long")
     mine = fixtures.predictions(spark, sf_dir).where("method = 'plain'").select("document", "field", "page", "value")
-    return mine.join(routes, ["field", "page"]).dropDuplicates(["document", "field", "page", "value"]).groupBy("field", "page").agg(F.count(F.lit(1)).alias("n"))
+    return mine.join(F.broadcast(routes), ["field", "page"]).dropDuplicates(["document", "field", "page", "value"]).groupBy("field", "page").agg(F.count(F.lit(1)).alias("n"))
