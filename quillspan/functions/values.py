@@ -30,10 +30,6 @@ def value_type(name: Column) -> Column:
     )
 
 
-def missing(value: Column) -> Column:
-    return fold(squeeze(value)).isin(*MISSING)
-
-
 def date_value(value: Column, order: Column) -> Column:
     """ISO date, ``?`` if day and month can't be told apart, null if it is no date."""
     parts = lambda i: F.regexp_extract(value, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", i)
@@ -56,7 +52,7 @@ def date_value(value: Column, order: Column) -> Column:
 
     first, later = rf"^(\d{{1,2}})\s+({MONTHS}|{SHORT})\s+(\d{{4}})$", rf"^({MONTHS}|{SHORT})\s+(\d{{1,2}}),\s*(\d{{4}})$"
     return (
-        F.when(numeric, by_number).when(mixed, F.when(unclear, "?")).when(value.rlike(year_first), sorted_form)
+        F.when(value.rlike(year_first), sorted_form).when(numeric, by_number).when(mixed, F.when(unclear, "?"))
         .when(low.rlike(first), worded(first, 1, 2, 3)).when(low.rlike(later), worded(later, 2, 1, 3))
     )
 
@@ -67,18 +63,23 @@ AMOUNT = r"^(?:([A-Za-z]{3})\s+)?(\(?)\s*([+-]?)(\p{Nd}+|\p{Nd}{1,3}(?:,\p{Nd}{3
 
 def number_value(value: Column) -> Column:
     """[digits, unit, currency] as JSON, null if it is no number. Dots are decimal; commas only group by three."""
-    text = minus(value)
-    part = lambda i: F.regexp_extract(text, AMOUNT, i)
+    # One match gives all parts; none of them can hold the mark between them.
+    groups = "\x1f".join(f"${i}" for i in range(1, 9))
+    return let(minus(value), lambda text: F.when(text.rlike(AMOUNT), let(F.split(F.regexp_replace(text, AMOUNT, groups), "\x1f", -1), amount)))
+
+
+def amount(parts: Column) -> Column:
+    """The number whose parts AMOUNT has found."""
+    part = lambda i: F.get(parts, F.lit(i - 1))
     bracket = part(2) != ""
     whole = F.regexp_replace(F.replace(part(4), F.lit(","), F.lit("")), r"^0+(?=\p{Nd})", "")
     digits = F.concat(whole, F.regexp_replace(part(5), r"\.?0*$", ""))
-    signed = F.concat(F.when((bracket | (part(3) == "-")) & (digits != "0"), "-").otherwise(""), digits)
+    signed = let(digits, lambda d: F.concat(F.when((bracket | (part(3) == "-")) & (d != "0"), "-").otherwise(""), d))
     currency = F.upper(F.when(part(1) != "", part(1)).otherwise(part(8)))
     quoted = F.when(currency == "", "null").otherwise(F.concat(F.lit('"'), currency, F.lit('"')))
     # JSON text, with units beyond ASCII escaped.
     unit = F.when(part(7) == "‰", "\\u2030").otherwise(part(7))
-    sound = text.rlike(AMOUNT) & (bracket == (part(6) != ""))
-    return F.when(sound, F.concat(F.lit('["'), signed, F.lit('", "'), unit, F.lit('", '), quoted, F.lit("]")))
+    return F.when(bracket == (part(6) != ""), F.concat(F.lit('["'), signed, F.lit('", "'), unit, F.lit('", '), quoted, F.lit("]")))
 
 
 def typed_value(value: Column, kind: Column, name: Column, order: Column) -> Column:
@@ -87,14 +88,15 @@ def typed_value(value: Column, kind: Column, name: Column, order: Column) -> Col
 
 
 def typed_clean(clean: Column, kind: Column, name: Column, order: Column) -> Column:
-    return let(F.struct(F.when(kind == "date", date_value(clean, order)).alias("date"), F.when(kind.isin("number", "amount"), number_value(clean)).alias("number")), lambda v: chosen(clean, kind, name, v["date"], v["number"]))
+    parts = F.struct(F.when(kind == "date", date_value(clean, order)).alias("date"), F.when(kind.isin("number", "amount"), number_value(clean)).alias("number"), fold(clean).isin(*MISSING).alias("gone"))
+    return let(parts, lambda v: chosen(clean, kind, name, v["date"], v["number"], v["gone"]))
 
 
-def chosen(clean: Column, kind: Column, name: Column, date: Column, number: Column) -> Column:
+def chosen(clean: Column, kind: Column, name: Column, date: Column, number: Column, gone: Column) -> Column:
     code = F.when(clean.rlike("^[A-Za-z]{3}$"), F.upper(clean))
     identifier = F.when(F.upper(name).isin(*COMPACT), F.upper(F.regexp_replace(clean, f"{SPACE}+", ""))).otherwise(clean)
     none = F.lit(None).cast("string")
-    numeric, gone = kind.isin("number", "amount"), missing(clean)
+    numeric = kind.isin("number", "amount")
     out = (
         F.when(gone, none).when(kind == "identifier", identifier).when(kind == "currency", code).when(numeric, number)
         .when(kind == "date", F.when(date != "?", date)).otherwise(fold(clean))

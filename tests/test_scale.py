@@ -1,9 +1,13 @@
 """What lets queries grow: no table is broadcast for the size of the file behind it, no step is done twice, batches stay small."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from quillspan.operators import extraction
+from quillspan.operators import benchmark, extraction
 from quillspan.plans import registry
+from quillspan.sources import fixtures
+
+DIR = "/root/testdata/sf0.001"
 
 VALUES = "unit long, field string, record string, occurrence int, value_type string, value string, valid boolean"
 
@@ -32,3 +36,31 @@ def test_backend_text_of_indented_documents(spark, tmp_path):
     names = [d[0] for d in rel.description]
     want = sorted(rel.fetchall())
     assert sorted(tuple(r) for r in registry.queries()["f23_backend_text"](spark, str(tmp_path)).select(names).collect()) == want
+
+
+def joins(df):
+    return [line for line in plan(df).splitlines() if "Join " in line]
+
+
+def test_fields_are_dealt_once_and_joined_with_short_lists_only(spark):
+    """Every reference and prediction moves once, by its record; only the profile and rules are joined, by broadcast."""
+    refs, preds, profile = fixtures.references(spark, DIR), fixtures.predictions(spark, DIR), fixtures.profile(spark)
+    rules = spark.createDataFrame([("Amount", True, None, None, 1000.0, 400000.0)], "field string, required boolean, pattern string, enum array<string>, minimum double, maximum double")
+    counts, matched = benchmark.counters(refs, preds, profile), benchmark.matches(refs, preds, profile)
+    for df in (counts, matched, benchmark.relations(matched), benchmark.violations(preds, profile, rules, refs), registry.queries()["j25_page_routing"](spark, DIR)):
+        assert plan(df).count("RepartitionByExpression") <= 1 and all("strategy=broadcast" in j for j in joins(df))
+    assert all("strategy=broadcast" in j or "strategy=merge" in j for j in joins(benchmark.extras(refs, preds, profile)))
+
+
+def test_null_keys_and_methods_meet_nothing(spark):
+    refs = spark.createDataFrame([(1, None, "A", "present", "x", 1, None), (1, 2, "A", "present", "x", 1, None), (1, 2, "B", "unreadable", None, 1, None)], "document long, record long, field string, status string, value string, page long, bbox array<double>")
+    rows = [("m", 1, 0, None, "A", "x"), (None, 1, 1, 2, "A", "x"), ("m", 1, 2, 2, "B", "?"), ("m", 1, 3, 2, "C", "y"), ("m", 1, 4, None, "A", "x")]
+    preds = spark.createDataFrame([(*r, 1, None) for r in rows], "method string, document long, idx long, record long, field string, value string, page long, bbox array<double>")
+    profile = spark.createDataFrame([("A", 1.0, True, "text", []), ("B", 1.0, True, "text", [])], "field string, weight double, critical boolean, kind string, requires array<string>")
+    assert sorted(tuple(r) for r in benchmark.matches(refs, preds, profile).select(F.coalesce("record", F.lit(0)), "method", "reason").collect()) == [(0, "m", "missing"), (2, "m", "missing")]
+    extra = benchmark.extras(refs, preds, profile).collect()
+    assert sorted((r["idx"], r["reason"], r["unknown_field"]) for r in extra) == [(0, "wrong_record", False), (1, "duplicate", False), (3, "extra", True), (4, "wrong_record", False)]
+    made = {(r["method"], r["field"]): r for r in benchmark.counters(refs, preds, profile).collect()}
+    assert [made["m", "A"][c] for c in ("reference_fields", "predicted_fields", "extra_fields", "missing_fields")] == [2, 2, 2, 2]
+    assert [made["m", "B"][c] for c in ("reference_fields", "predicted_fields", "ignored_unreadable_predictions", "unreadable_fields")] == [0, 0, 1, 1]
+    assert (made["m", None]["eligible_documents"], made["m", None]["eligible_records"], made["m", "C"]["extra_fields"], made[None, "A"]["extra_fields"]) == (0, 1, 1, 1)
