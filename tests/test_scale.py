@@ -1,9 +1,12 @@
 """What lets queries grow: no table is broadcast for the size of the file behind it, no step is done twice, batches stay small."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 from pyspark.sql import functions as F
 
-from quillspan.operators import benchmark, extraction
+from quillspan.operators import alignment, benchmark, corroboration, extraction
 from quillspan.plans import registry
 from quillspan.sources import fixtures
 
@@ -64,3 +67,25 @@ def test_null_keys_and_methods_meet_nothing(spark):
     assert [made["m", "A"][c] for c in ("reference_fields", "predicted_fields", "extra_fields", "missing_fields")] == [2, 2, 2, 2]
     assert [made["m", "B"][c] for c in ("reference_fields", "predicted_fields", "ignored_unreadable_predictions", "unreadable_fields")] == [0, 0, 1, 1]
     assert (made["m", None]["eligible_documents"], made["m", None]["eligible_records"], made["m", "C"]["extra_fields"], made[None, "A"]["extra_fields"]) == (0, 1, 1, 1)
+
+
+def test_alignment_is_that_of_difflib():
+    draw = random.Random(7)
+    for n in range(400):
+        words = "abcdefghijklmnop"[: draw.choice((1, 2, 4, 16))]
+        a = [draw.choice(words) for _ in range(draw.randrange(30))]
+        b = [w for w in a if draw.random() < 0.8] if n % 2 else [draw.choice(words) for _ in range(draw.randrange(30))]
+        x, y = alignment.lettered([a, b])
+        want = SequenceMatcher(None, a, b, autojunk=False)
+        assert isinstance(x, str) and alignment.opcodes(x, y) == want.get_opcodes() and alignment.aligned(x, y).ratio() == want.ratio()
+        back = SequenceMatcher(None, b, a, autojunk=False)
+        assert alignment.similarity(x, y) == ((want.ratio() + back.ratio()) / 2 if a or b else 0.0)
+
+
+def test_passages_are_read_once_and_folded_within_their_rows(spark):
+    """The summary needs the passages' rows once, and nothing but short lists is joined."""
+    found, rolled, summary = corroboration.corroborate(fixtures.pages(spark, DIR), fixtures.families(spark), fixtures.panel(spark))
+    for df in (found, rolled, summary):
+        assert plan(df).count("MapInArrow") == 1 and all("strategy=broadcast" in j for j in joins(df))
+    states = corroboration.family_states(corroboration.passage_evidence(fixtures.pages(spark, DIR), list(fixtures.PANEL)), fixtures.panel(spark))
+    assert all("strategy=broadcast" in j for j in joins(states))
