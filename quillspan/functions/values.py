@@ -6,6 +6,7 @@ number is the JSON list [digits, unit, currency].
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,3 +144,35 @@ def iou(page_a: Column, box_a: Column, page_b: Column, box_b: Column) -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
+
+
+def bits_apart(a: str, b: str) -> int:
+    """The edit distance of two texts by Myers' bit vectors: a column of the table is one number, so the longer text's length costs little."""
+    if len(a) < len(b):
+        a, b = b, a
+    if a == b or not b:
+        return len(a) - len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    score, last = len(a), 1 << (len(a) - 1)
+    mask = 2 * last - 1
+    up, down = mask, 0
+    for c in b:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        right, left = down | (~(diagonal | up) & mask), up & diagonal
+        score += 1 if right & last else -1 if left & last else 0
+        right, left, same = right << 1 | 1, left << 1, same | down
+        up, down = (left | ~(same | right)) & mask, right & same & mask
+    return score
+
+
+def long_edit_distance(a: Column, b: Column) -> Column:
+    """``edit_distance`` of long texts, in Python: Spark's own fills the table cell by cell."""
+
+    @F.pandas_udf("int")
+    def apart(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else bits_apart(x, y) for x, y in zip(left, right, strict=True)], dtype="Int32")
+
+    return apart(a, b)

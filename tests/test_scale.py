@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import duckdb
 from pyspark.sql import functions as F
 
+from quillspan.functions import values
 from quillspan.operators import alignment, benchmark, corroboration, extraction
 from quillspan.plans import registry
 from quillspan.sources import fixtures
@@ -89,3 +90,16 @@ def test_passages_are_read_once_and_folded_within_their_rows(spark):
         assert plan(df).count("MapInArrow") == 1 and all("strategy=broadcast" in j for j in joins(df))
     states = corroboration.family_states(corroboration.passage_evidence(fixtures.pages(spark, DIR), list(fixtures.PANEL)), fixtures.panel(spark))
     assert all("strategy=broadcast" in j for j in joins(states))
+
+
+def test_edit_distance_of_long_texts(spark):
+    """Near texts, texts that differ in length only, and texts of nothing in common: what the whole table says, null for null."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("aeinrté ü😀") for _ in range(draw.randrange(1, 9)))
+    pairs = [(None, "a"), ("a", None), ("", ""), ("", "x" * 90), ("x" * 40, "y" * 300), ("x" * 200, "y" * 200)]
+    for n in range(150):
+        a = [word() for _ in range(draw.randrange(60))]
+        b = [w for w in a if draw.random() < 0.9] if n % 3 == 0 else [w.replace("n", "m") for w in a] if n % 3 == 1 else [word() for _ in range(draw.randrange(60))]
+        pairs.append((" ".join(a), " ".join(b)))
+    rows = spark.createDataFrame(pairs, "a string, b string").select(values.long_edit_distance(F.col("a"), F.col("b")).alias("got"), values.edit_distance(F.col("a"), F.col("b")).alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
