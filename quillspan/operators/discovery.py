@@ -1,7 +1,7 @@
 """Routing text blocks to schemas, and checking what a model claims to have found there.
 
-Routing is an equi-join on words, so blocks and schemas meet only where they share
-one; a shortlist that shared words can't fill is topped up by schema id. Model
+Routing looks a block's words up in the catalogue's, so blocks and schemas meet only
+where they share one; a shortlist that shared words can't fill is topped up by schema id. Model
 calls go through an adapter that is handed in; every claim is checked against the
 block's own text.
 """
@@ -11,29 +11,59 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import routing_words
 
 
+#: Blocks that are Python values at once.
+BLOCKS = 64
+
+
 def shortlist(blocks: DataFrame, schemas: DataFrame, k: int = 5) -> DataFrame:
     """(block_id, schema_id, shared, place): the k schemas with most words in common, ties by id.
 
-    ``schemas`` (schema_id, text) is a catalogue: its words are joined, not crossed.
-    The top-up takes the k schemas of least id, as many as a block can lack.
+    ``schemas`` (schema_id, text) is a catalogue: its words are read on the driver,
+    like a vocabulary, and travel in the closure. A block's words meet in one row
+    and are counted there; counted by a grouping, each task would hold a table of
+    its blocks times the schemas. Schemas without a word in common fill up by id.
     """
-    words = blocks.select("block_id", F.explode(routing_words(F.col("text"))).alias("word"))
-    catalogue = schemas.select("schema_id", F.explode(routing_words(F.col("text"))).alias("word"))
-    shared = words.join(catalogue, "word").groupBy("block_id", "schema_id").agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy("block_id").orderBy(F.col("shared").desc(), "schema_id")
-    top = shared.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    fill = schemas.select("schema_id").distinct().orderBy("schema_id").limit(k).agg(F.collect_list("schema_id"))
-    spare = blocks.select("block_id").distinct().select("block_id", F.explode(fill.scalar()).alias("schema_id"), F.lit(0).cast("long").alias("shared"))
-    # A spare that is on the list already counts once, with its words; k + k rows a block at most.
-    rest = spare.join(top.select("block_id", "schema_id"), ["block_id", "schema_id"], "left_anti")
-    return top.drop("place").unionByName(rest).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    words_of = routing_words(F.col("text"))
+    listed = schemas.where("schema_id is not null").select("schema_id", F.coalesce(words_of, F.array().cast("array<string>")).alias("words")).collect()
+    ids = sorted({r["schema_id"] for r in listed})
+    number, of_word = {x: n for n, x in enumerate(ids)}, {}
+    for r in listed:
+        for w in r["words"]:
+            of_word.setdefault(w, []).append(number[r["schema_id"]])
+    of_word = {w: np.array(n, dtype=np.int64) for w, n in of_word.items()}
+    types = {f.name: f.dataType for f in (*blocks.schema.fields, *schemas.schema.fields)}
+    schema = StructType([StructField("block_id", types["block_id"]), StructField("schema_id", types["schema_id"]), StructField("shared", LongType()), StructField("place", IntegerType())])
+    shape = to_arrow_schema(schema)
+
+    def best(words: list[str]) -> list[tuple[int, int]]:
+        hits = [of_word[w] for w in words if w in of_word]
+        found, counts = np.unique(np.concatenate(hits), return_counts=True) if hits else (np.array([], dtype=np.int64),) * 2
+        first = np.lexsort((found, -counts))[:k]
+        out = list(zip(found[first].tolist(), counts[first].tolist(), strict=True))
+        taken = {n for n, _ in out}
+        return out + [(n, 0) for n in range(min(k, len(ids))) if n not in taken][: k - len(out)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCKS):
+                rows = batch.slice(first, BLOCKS).to_pylist()
+                made = [(r["block_id"], ids[n], c, place) for r in rows for place, (n, c) in enumerate(best(r["words"]), 1)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), shape, strict=True)], schema=shape)
+
+    one = blocks.groupBy("block_id").agg(F.flatten(F.collect_list(words_of)).alias("words"))
+    return one.mapInArrow(run, schema)
 
 
 def batches_of(fields: DataFrame, size: int = 40) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillspan.functions import values
-from quillspan.operators import alignment, benchmark, corroboration, extraction
+from quillspan.operators import alignment, benchmark, corroboration, discovery, extraction
 from quillspan.plans import registry
 from quillspan.sources import fixtures
 
@@ -103,3 +103,13 @@ def test_edit_distance_of_long_texts(spark):
         pairs.append((" ".join(a), " ".join(b)))
     rows = spark.createDataFrame(pairs, "a string, b string").select(values.long_edit_distance(F.col("a"), F.col("b")).alias("got"), values.edit_distance(F.col("a"), F.col("b")).alias("want")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_shortlists_are_counted_within_a_block(spark):
+    """Ties go by id, rows of one block count together, a block without words gets the least ids, and no pair of block and schema is grouped."""
+    blocks = spark.createDataFrame([(1, "alpha beta beta"), (1, "Gamma"), (2, None), (3, "delta alpha")], "block_id long, text string")
+    schemas = spark.createDataFrame([("a", "none of it"), ("b", "gamma beta"), ("c", "alpha delta"), ("d", "alpha"), ("e", None)], "schema_id string, text string")
+    made = discovery.shortlist(blocks, schemas, 3)
+    want = {1: [("b", 2), ("c", 1), ("d", 1)], 2: [("a", 0), ("b", 0), ("c", 0)], 3: [("c", 2), ("d", 1), ("a", 0)]}
+    assert sorted(tuple(r) for r in made.collect()) == sorted((b, s, n, i) for b, x in want.items() for i, (s, n) in enumerate(x, 1))
+    assert plan(made).count("Aggregate") == 1 and not joins(made)
